@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from savora.llm import exact_dedup, mixing, sharding, url_filter
+from savora.llm import bpe, exact_dedup, mixing, quality, sharding, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
