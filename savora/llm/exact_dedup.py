@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 
 from savora.llm.common import SPACE, materialize, read_table, scratch_path
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; with fallocate each of many small stores would reserve megabytes that it never fills.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -60,13 +63,15 @@ def keyed_state(spark: SparkSession, prints: DataFrame, path: str) -> DataFrame:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         batches.add(batch)
 
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         start = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", scratch_path(spark, "dedup-log")).trigger(availableNow=True)
         start.start().awaitTermination()
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not batches:
         return spark.createDataFrame([], state.schema)
     saved = spark.read.schema(state.withColumn("batch", F.lit(0)).schema).parquet(out)
