@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from savora.llm import bpe, exact_dedup, mixing, quality, sharding, url_filter
+from savora.llm import bpe, exact_dedup, html_extract, mixing, quality, sharding, url_filter
 
 QUERIES = {
+    "op2_html_extract": html_extract.op2_html_extract,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op7_bpe": bpe.op7_bpe,
