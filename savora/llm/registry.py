@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from savora.llm import bpe, exact_dedup, html_extract, mixing, quality, sharding, substring_dedup, url_filter
+from savora.llm import bpe, exact_dedup, html_extract, minhash, mixing, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_html_extract": html_extract.op2_html_extract,
+    "op3_minhash": minhash.op3_minhash,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
     "op7_bpe": bpe.op7_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 SQL = {
+    "op3_minhash": minhash.OP3_SQL,
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
