@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from savora.llm import bpe, exact_dedup, html_extract, minhash, mixing, quality, sharding, substring_dedup, url_filter
+from savora.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash, mixing, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash": minhash.op3_minhash,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -20,5 +21,6 @@ SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
