@@ -19,11 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm.common import SPACE, materialize, read_table, scratch_path
+from savora.llm.common import SPACE, located, materialize, read_table, scratch_path
 
 #: State on disk; with fallocate each of many small stores would reserve megabytes that it never fills.
 STORE = {
@@ -40,18 +39,6 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def located(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns as _c0, _c1 ... with _at, which tells the row's place in files; docs that aren't read from files are written first."""
-    chosen = [F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)]
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at")
-    try:
-        if "_metadata" not in docs.columns:
-            return docs.select(*chosen, place)
-    except AnalysisException:
-        pass
-    return materialize(docs.select(*chosen), "located").select("*", place)
-
-
 def keyed_state(spark: SparkSession, prints: DataFrame, path: str) -> DataFrame:
     """Streams the fingerprints at path through keyed state: digest, size, best (a struct; the least rank wins)."""
     out = scratch_path(spark, "dedup-state")

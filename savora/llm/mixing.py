@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from savora.llm.common import WORD, global_prefix, materialize, read_table
+from savora.llm.common import WORD, global_prefix, located, materialize, read_table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -55,17 +55,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return stepped.select("_source", "_words", "_weight", F.least(cap, F.coalesce(settled, F.lit(0.0)) * F.col("_weight")).alias("_target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """id, size, source_size, target, copies, taken, for every row of docs."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, size, source_size, target, copies, taken, and the columns of carry, for every row of docs."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size")), "mix-sizes")
+    slim = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), *[F.col(c).alias(f"_with_{c}") for c in carry]), "mix-sizes")
     aims = materialize(targets(slim.groupBy("_source").agg(F.sum("_size").alias("_words")), weights, most), "mix-targets")
     whole = F.when(F.col("_words") > 0, F.floor(F.col("_target") / F.col("_words"))).otherwise(0).cast("long")
     aims = aims.withColumn("_whole", whole).withColumn("_rest", F.col("_target") - F.col("_whole") * F.col("_words"))
     f = F.when(F.col("_words") > 0, F.col("_rest") / F.col("_words")).otherwise(0.0)
     u = uniform(seed, F.col("_id"))
     rank = F.when(f > 0, (u / (1 - u)) / (f / (1 - f)))
-    drawn = slim.join(aims, slim["_source"].eqNullSafe(aims["_source"])).select(slim["_source"], "_id", "_size", "_words", "_target", "_whole", "_rest", rank.alias("_rank"))
+    drawn = slim.join(aims, slim["_source"].eqNullSafe(aims["_source"])).select(slim["_source"], "_id", "_size", "_words", "_target", "_whole", "_rest", rank.alias("_rank"), *[f"_with_{c}" for c in carry])
     order = [F.col("_source").asc_nulls_last(), F.col("_rank").asc_nulls_last(), F.col("_id").asc_nulls_last(), F.col("_size").asc()]
     ranked = materialize(global_prefix(drawn, order, {"_before": "_size"}, "mix-order"), "mix-prefix")
     base = ranked.groupBy("_source").agg(F.min("_before").alias("_base"))
@@ -81,10 +81,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = sampled.join(last, sampled["row_index"] == last["_last"], "left")
     copies = F.col("_whole") + F.when(F.col("_in") | F.col("_last").isNotNull(), 1).otherwise(0)
     return done.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken")
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"), *[F.col(f"_with_{c}").alias(c) for c in carry]
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs with each row as often as mix takes it."""
+    rows = located(docs, docs.columns)
+    c = {name: f"_c{k}" for k, name in enumerate(docs.columns)}
+    copies = mix(rows, c[id_col], c[text_col], c[source_col], carry=("_at",), **how).where("copies > 0").select("_at", "copies")
+    many = rows.join(copies, "_at").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return many.select(*[F.col(v).alias(k) for k, v in c.items()])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
