@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -42,11 +44,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished jobs now instead of at the driver's next full collection."""
-    import gc
+    """Lets Spark's cleaner remove the shuffle files of finished jobs now instead of at the driver's next full collections.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The last job's plan is still held by listeners for a moment, so one collection isn't enough.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def located(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,11 +6,12 @@ is met, so equal sets agree in all bins and similar ones in about as many as the
 Rows of bins make band keys. Documents of one set are one class from the start, whatever their
 number; from there on only one representative is sent.
 
-A bucket (one band key) links its members to a few centres, never to one another: with c centres
-and m members there are c * m candidates. They are confirmed on full sets of shingles, and linked
-classes are merged. A bucket whose other members still lie in different components takes new
-centres in the next round, until nothing is left to compare: no link inside a bucket is lost, and
-pairs already merged or already compared are never compared again.
+A bucket (one band key) links its members to one centre: with m members there are m candidates.
+They are confirmed on full sets of shingles, and linked classes are merged. A bucket whose other
+members still lie in different components takes new centres in the next round, ``GROWTH`` times as
+many as in the round before, until nothing is left to compare: no link inside a bucket is lost,
+and pairs already merged or already compared are never compared again. So only groups that are
+alike enough to share a bucket, yet mostly unlinked, cost more than a candidate for each member.
 
 Defined results: documents without words have an empty set and are linked with nothing; fewer
 words than a shingle make one shingle; a null id is linked with nothing, has a null component and
@@ -33,7 +34,7 @@ from savora.llm.words import chunks, mix, randoms, windows, word_hashes
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 32, 7
-CENTRES = 8
+GROWTH = 8
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -147,11 +148,11 @@ def _star_rounds(spark: SparkSession, slim: DataFrame, classes: DataFrame, size:
     # of rows that share an id, the text with the representative's set is the one to compare; sets are compared again below
     texts = materialize(slim.join(needed, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "near-texts")
     release(spark)
-    left, compared = buckets.withColumn("root", F.col("rep")), None
+    left, compared, slots = buckets.withColumn("root", F.col("rep")), None, 1
     fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
     run, schema = _confirmed(size, percent)
     while True:
-        centres = left.groupBy("key", (F.xxhash64("rep") % (1 if compared is None else CENTRES)).alias("slot")).agg(F.min(F.struct("rep", "n", "root")).alias("c"))
+        centres = left.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("rep", "n", "root")).alias("c"))
         centres = materialize(centres.select("key", "c"), "near-centres")
         pairs = left.join(centres, "key").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.n").alias("a_n"), F.col("n").alias("b_n"), F.col("c.root").alias("a_root"), "root")
         pairs = pairs.where((F.col("a") != F.col("b")) & (F.col("a_root") != F.col("root")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -171,6 +172,7 @@ def _star_rounds(spark: SparkSession, slim: DataFrame, classes: DataFrame, size:
         release(spark)
         if left.isEmpty():
             return links
+        slots *= GROWTH
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
