@@ -76,7 +76,11 @@ def _compare(cosine: float, dense: int):
         p, base, shift = (x.as_py() for x in key)
         order = np.argsort(np.asarray(table["rep"]), kind="stable")
         rep, side, code, size = (np.asarray(table[c])[order] for c in ("rep", "side", "code", "size"))
-        vectors = np.stack(table["v"].to_numpy(zero_copy_only=False))[order]
+        column = table["v"].combine_chunks()
+        sizes = np.asarray(pa.compute.list_value_length(column))
+        vectors = np.zeros((len(rep), int(sizes.max())))  # padded: a block may hold labels, or sizes, side by side
+        vectors[np.arange(vectors.shape[1]) < sizes[:, None]] = np.asarray(column.flatten())
+        vectors = vectors[order]
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         blocks, before, now = (np.stack(table[c].to_numpy(zero_copy_only=False))[order] for c in ("blocks", "before", "now"))
         close = (vectors @ vectors.T >= cosine) & (code[:, None] == code)
