@@ -40,7 +40,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, once nothing that still has to run reads them."""
+    for table in tables:
+        spark, path = table.sparkSession, vars(table)["_scratch"]
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm.common import materialize, read_table, release
+from savora.llm.common import discard, materialize, read_table, release
 from savora.llm.words import chunks, mix, windows, word_hashes
 
 WINDOW = 13
@@ -174,6 +174,7 @@ def _removed_windows(spark: SparkSession, keyed: DataFrame, prints: DataFrame, c
         return none
     alive = sent.select("uid", "a").join(repeated, "a", "left_semi").groupBy("uid").agg(F.collect_set("a").alias("alive")).join(copies, "uid", "left_anti")
     texts = materialize(keyed.select("uid", "id", "text").join(alive, "uid"), "repeat-texts")
+    discard(prints, repeated)
     release(spark)
     run, schema = _candidates(target)
     extended = texts.mapInArrow(run, schema)
@@ -184,6 +185,7 @@ def _removed_windows(spark: SparkSession, keyed: DataFrame, prints: DataFrame, c
         return none
     later = extended.join(firsts, ["h", "a"]).where("id > first")
     gone = materialize(later.groupBy("uid").agg(F.collect_set("h").alias("gone")), "repeat-gone")
+    discard(texts, firsts)
     release(spark)
     return gone
 
