@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm.common import materialize, read_table, release
+from savora.llm.common import discard, materialize, read_table, release
 from savora.llm.components import components
 from savora.llm.words import chunks, mix, randoms, windows, word_hashes
 
@@ -148,7 +148,7 @@ def _star_rounds(spark: SparkSession, slim: DataFrame, classes: DataFrame, size:
     # of rows that share an id, the text with the representative's set is the one to compare; sets are compared again below
     texts = materialize(slim.join(needed, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "near-texts")
     release(spark)
-    left, compared, slots = buckets.withColumn("root", F.col("rep")), None, 1
+    left, stored, compared, slots = buckets.withColumn("root", F.col("rep")), buckets, None, 1
     fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
     run, schema = _confirmed(size, percent)
     while True:
@@ -169,8 +169,11 @@ def _star_rounds(spark: SparkSession, slim: DataFrame, classes: DataFrame, size:
         rest = materialize(rest, "near-rest")
         split = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         left = materialize(rest.join(split, "key", "left_semi"), "near-left")
+        discard(stored, centres, rest, roots)
+        stored = left
         release(spark)
         if left.isEmpty():
+            discard(left, texts)
             return links
         slots *= GROWTH
 
