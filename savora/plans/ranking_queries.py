@@ -202,13 +202,17 @@ def variants_sql() -> str:
         decay = "1.0::DOUBLE" if q.half_life_days <= 0 else f"CAST({DECAY} AS DOUBLE)"
         burst = "FALSE" if v.no_burst else "burst"
         bonus = BONUS if v.tenure else "0.0"
-        smooth = f"CASE WHEN NOT excluded AND count(*) FILTER (WHERE NOT excluded) OVER c >= 2 THEN round(greatest(0.0, least(5.0, ({q.bayes_prior}::DOUBLE * (sum(CASE WHEN NOT excluded THEN CAST(round(score * 10) AS BIGINT) END) OVER c / 10.0::DOUBLE / count(*) FILTER (WHERE NOT excluded) OVER c) + mention_count * score) / ({q.bayes_prior}::DOUBLE + mention_count))), 1) ELSE score END" if q.bayes_prior > 0 else "score"
+        mean = f"greatest(0.0, least(5.0, ({q.bayes_prior}::DOUBLE * (sum(CASE WHEN NOT excluded THEN CAST(round(score * 10) AS BIGINT) END) OVER c / 10.0::DOUBLE / count(*) FILTER (WHERE NOT excluded) OVER c) + mention_count * score) / ({q.bayes_prior}::DOUBLE + mention_count)))"
+        lowered, raised = f"greatest(0.0, least(5.0, up * {q.suspect_multiplier}))", "greatest(0.0, least(5.0, smooth + bonus))"
+        quality = f"greatest(0.0, least(1.0, 5 * greatest(0.0, base) * decay * (CASE WHEN {burst} THEN 0.5 ELSE 1.0 END) / 5)) * 5"
+        total = f"({GAIN}){' - (' + LOSS + ')' if v.penalties else ''}"
+        smooth = f"CASE WHEN NOT excluded AND count(*) FILTER (WHERE NOT excluded) OVER c >= 2 THEN {rnd(mean, 1)} ELSE score END" if q.bayes_prior > 0 else "score"
         parts.append(f"""SELECT '{v.name}' AS variant, city, shop_id, row_number() OVER (PARTITION BY city ORDER BY score DESC, name, shop_id) AS rank, score FROM (
-          SELECT city, shop_id, name, CASE WHEN liveness = 'suspect' THEN round(greatest(0.0, least(5.0, up * {q.suspect_multiplier})), 1) ELSE up END AS score FROM (
-            SELECT *, CASE WHEN bonus > 0 THEN round(greatest(0.0, least(5.0, smooth + bonus)), 1) ELSE smooth END AS up FROM (
+          SELECT city, shop_id, name, CASE WHEN liveness = 'suspect' THEN {rnd(lowered, 1)} ELSE up END AS score FROM (
+            SELECT *, CASE WHEN bonus > 0 THEN {rnd(raised, 1)} ELSE smooth END AS up FROM (
               SELECT *, {smooth} AS smooth FROM (
-                SELECT *, reason IS NOT NULL AS excluded, CASE WHEN reason IS NOT NULL THEN 0.0 ELSE round(greatest(0.0, least(1.0, 5 * greatest(0.0, base) * decay * (CASE WHEN {burst} THEN 0.5 ELSE 1.0 END) / 5)) * 5, 1) END AS score FROM (
-                  SELECT *, round(({GAIN}){' - (' + LOSS + ')' if v.penalties else ''}, 4) AS base, {reason} AS reason, {decay} AS decay, CAST({bonus} AS DOUBLE) AS bonus FROM (
+                SELECT *, reason IS NOT NULL AS excluded, CASE WHEN reason IS NOT NULL THEN 0.0 ELSE {rnd(quality, 1)} END AS score FROM (
+                  SELECT *, {rnd(total, 4)} AS base, {reason} AS reason, {decay} AS decay, CAST({bonus} AS DOUBLE) AS bonus FROM (
                     SELECT *, {feats}, {PENALTIES_SQL} FROM signals)))
               WINDOW c AS (PARTITION BY city)) WHERE NOT excluded AND shop_id IS NOT NULL))""")
     return f"{SIGNALS}, variants AS (" + " UNION ALL ".join(parts) + ")"
