@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from savora.llm.common import materialize
+from savora.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
@@ -20,7 +20,9 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     for _ in range(100):
         large = _step(now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
         after = materialize(_step(large, larger=False), f"{tag}-round")
-        same = after.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(after, ["a", "b"], "left_anti").isEmpty()
+        # both are distinct: of equal size, one within the other, they are equal
+        same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        discard(now)
         now = after
         if same:
             break
