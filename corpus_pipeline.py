@@ -27,8 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return minhash.keep_one(docs)
+    """One document of each group of near duplicates, linked by a similarity of 0.8 or more, stays."""
+    return minhash.keep_one(docs, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

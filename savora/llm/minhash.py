@@ -34,6 +34,9 @@ from savora.llm.words import chunks, mix, randoms, windows, word_hashes
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 32, 7
+#: For keep_one: pairs at 0.8 or more; one at 0.8 shares no band with a chance of (1 - 0.8^6)^40 = 5e-6 (32 x 7: 5e-4).
+KEEP_PERCENT = 80
+KEEP_BANDS, KEEP_ROWS = 40, 6
 GROWTH = 8
 EMPTY = np.uint64(2**64 - 1)
 
@@ -178,15 +181,15 @@ def _star_rounds(spark: SparkSession, slim: DataFrame, classes: DataFrame, size:
         slots *= GROWTH
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component (and all rows without an id)."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = KEEP_PERCENT, n_bands: int = KEEP_BANDS, rows: int = KEEP_ROWS) -> DataFrame:
+    """docs with one document of each component of pairs at percent or more (and all rows without an id)."""
+    kept = near_duplicates(docs, id_col, text_col, percent=percent, n_bands=n_bands, rows=rows).where("kept").select(F.col(id_col).alias("_kept")).distinct()
     there = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
     return there.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=PERCENT)
 
 
 OP3_SQL = r"""
