@@ -67,6 +67,7 @@ class Element:
     linked: bool
     in_article: bool
     number: int
+    away: bool = False
 
 
 @dataclass
@@ -81,18 +82,33 @@ def _attributes(source: str) -> dict[str, str]:
     return {k.lower(): unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(source)}
 
 
+def inside_article(element: Element | None) -> bool:
+    while element is not None and element.name != "article":
+        element = element.parent
+    return element is not None
+
+
 def _opened(name: str, source: str, parent: Element | None, number: int) -> Element:
     cost = parent.cost if parent else 0.0
     hidden = (parent.hidden if parent else False) or name in HIDDEN
     in_article = (parent.in_article if parent else False) or name in ("article", "main")
-    cost += HEADER if name == "header" and not in_article else BY_ELEMENT.get(name, 0.0)
+    within = parent is not None and (parent.in_article or parent.cost > 0)
+    away = parent.away if parent else False
+    marks = [HEADER if name == "header" and not in_article else BY_ELEMENT.get(name, 0.0)]
     if source.strip():
         a = _attributes(source)
         about = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".strip()
         if about and name not in ("html", "body"):
-            cost += AWAY if WORDS_AWAY.search(about) else HERE if WORDS_HERE.search(about) else 0.0
+            marks.append(AWAY if WORDS_AWAY.search(about) else HERE if WORDS_HERE.search(about) else 0.0)
+            # the element that is the page's content may name its surroundings, as in main.has-sidebar
+            within &= name != "main" and not (name == "article" and not parent.away and not inside_article(parent) and WORDS_HERE.search(about))
         hidden |= "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
-    return Element(name, parent, parent.depth + 1 if parent else 0, cost, hidden, (parent.linked if parent else False) or name == "a", in_article, number)
+    for mark in marks:
+        if mark < 0 and within:  # inside content, what is away overrides the marks above it, and those below it count no more
+            cost, away = min(cost, 0.0) + mark, True
+        elif mark < 0 or not away:
+            cost += mark
+    return Element(name, parent, parent.depth + 1 if parent else 0, cost, hidden, (parent.linked if parent else False) or name == "a", in_article, number, away)
 
 
 def blocks_of(html: str) -> list[Block]:
