@@ -3,9 +3,12 @@
 Equal vectors of a label are one class from the start; its least id represents it and its size
 counts. Each pass draws random hyperplanes; the sides a vector lies on, concatenated, are its key,
 and classes are ordered by (label, key). The order is cut into blocks, and each block's vectors are
-compared, in double precision, with those of their own and the next block: a bounded window. The
-number of passes follows from the largest label, so that two vectors at the threshold miss each
-other in all of them with a chance below ``MISS``.
+compared, in double precision, with those of their own and the next block: a bounded window. Two
+vectors that share so many first bits of their keys that no more than a block of vectors shares
+them lie within a window. How many bits that takes is measured for every vector in ``PROBES``
+passes of their own: more where a label's vectors lie in a cone, which few planes cut. The number
+of passes follows from the vector that takes most, so that two vectors at the threshold miss each
+other in all of them with a chance below ``MISS``, as far as the probes tell.
 
 Tasks don't emit pairs but counts of links and a spanning forest of them. A pair found in several
 passes is counted in the first only: every row carries its block in all passes, so a task can tell
@@ -36,20 +39,93 @@ COSINE = 0.98
 BLOCK = 256
 BITS = 62
 MISS = 1e-5
+PROBES, STEP = 16, 4
 
 
 def n_passes(largest: int, block: int = BLOCK, cosine: float = COSINE, miss: float = MISS) -> int:
     """Two vectors that share the first log2(largest / block) bits lie within a window."""
-    shared = max(1.0, math.log2(max(1, largest) / block) + 1)
-    meet = (1 - math.acos(cosine) / math.pi) ** shared
+    return passes_for(agreeing(cosine) ** first_bits(largest, block), miss)
+
+
+def first_bits(largest: int, block: int) -> float:
+    return max(1.0, math.log2(max(1, largest) / block) + 1)
+
+
+def agreeing(cosine: float) -> float:
+    """The chance that two vectors lie on the same side of a random hyperplane."""
+    return 1 - math.acos(cosine) / math.pi
+
+
+def passes_for(meet: float, miss: float = MISS) -> int:
     return max(2, math.ceil(math.log(miss) / math.log(1 - meet)))
 
 
 def projection_keys(vectors: np.ndarray, passes: int, seed: int = 5) -> np.ndarray:
     """A row of keys for each vector: BITS sides of random hyperplanes, the first most significant."""
     planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], passes * BITS))
-    sides = (vectors @ planes > 0).reshape(len(vectors), passes, BITS)
-    return (sides * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(axis=2)
+    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    step = max(1, 2_000_000 // (passes * BITS))
+    parts = [(vectors[k : k + step] @ planes > 0).reshape(-1, passes, BITS) @ weights for k in range(0, len(vectors), step)]
+    return np.concatenate(parts) if parts else np.empty((0, passes), dtype=np.int64)
+
+
+def _keys(passes: int, seed: int = 5):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = np.asarray(batch.column(2).flatten()), np.cumsum([0, *np.asarray(pa.compute.list_value_length(batch.column(2))).tolist()])
+            out = np.empty((batch.num_rows, passes), dtype=np.int64)
+            lengths = np.diff(ends)
+            for size in np.unique(lengths):
+                at = np.flatnonzero(lengths == size)
+                out[at] = projection_keys(values[ends[at][:, None] + np.arange(size)], passes, seed)
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(out) + 1) * passes).astype(np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["rep", "code", "keys"])
+
+    return run, "rep long, code long, keys array<long>"
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """code, p, cell, v -> one row for each cell of a batch: how many vectors, and the sum of them at length 1."""
+    for batch in batches:
+        groups: dict[tuple, list[int]] = {}
+        for k, cell in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            groups.setdefault(cell, []).append(k)
+        column = batch.column(3)
+        ends = np.cumsum([0, *np.asarray(pa.compute.list_value_length(column)).tolist()])
+        values, sums = np.asarray(column.flatten()), []
+        for at in groups.values():
+            v = np.stack([values[ends[k] : ends[k + 1]] for k in at])
+            sums.append((v / np.linalg.norm(v, axis=1, keepdims=True)).sum(axis=0).tolist())
+        code, p, cell = (list(x) for x in zip(*groups)) if groups else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(p, pa.int32()), pa.array(cell, pa.int64()), pa.array([len(at) for at in groups.values()], pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["code", "p", "cell", "m", "total"])
+
+
+def meeting(classes: DataFrame, largest: int, block: int = BLOCK, cosine: float = COSINE) -> float:
+    """The least chance, over all vectors, that one at the threshold from it lies within its window in a pass.
+
+    A vector takes bits until no more than a block of vectors shares them, or those that do are so
+    alike that they are links of each other (for those the window is moved on instead).
+    """
+    run, schema = _keys(PROBES, seed=6)
+    probed = classes.select("rep", "code", "v").mapInArrow(run, schema).select("rep", "code", F.posexplode("keys").alias("p", "key"))
+    left = materialize(probed, "vector-probes")
+    bits, lost = math.ceil(first_bits(largest, block)), None
+    while bits < BITS:
+        here = left.withColumn("cell", F.shiftright("key", BITS - bits))
+        cells = ["code", "p", "cell"]
+        crowds = materialize(here.groupBy(*cells).count().where(F.col("count") > block).select(*cells), "vector-crowds")
+        if crowds.isEmpty():
+            break
+        crowded = here.join(crowds, cells, "left_semi")
+        parts = crowded.join(classes.select("rep", "v"), "rep").select(*cells, "v").mapInArrow(_sums, "code long, p int, cell long, m long, total array<double>")
+        single = parts.select(*cells, "m", F.posexplode("total").alias("d", "x")).groupBy(*cells, "d").agg(F.sum("x").alias("x"), F.sum("m").alias("m"))
+        loose = single.groupBy(*cells).agg(F.sum(F.col("x") * F.col("x")).alias("s"), F.max("m").alias("m")).where(F.col("s") < F.lit(cosine) * F.col("m") * F.col("m"))
+        left = materialize(crowded.join(loose.select(*cells), cells, "left_semi").drop("cell"), "vector-loose")
+        after = min(BITS, bits + STEP)
+        step = left.select("rep", F.lit(agreeing(cosine) ** bits - agreeing(cosine) ** after).alias("x"))
+        lost, bits = step if lost is None else lost.unionByName(step), after
+    worst = 0.0 if lost is None else lost.groupBy("rep").agg(F.sum("x").alias("x")).agg(F.max("x")).first()[0] or 0.0
+    return agreeing(cosine) ** first_bits(largest, block) if not worst else agreeing(cosine) ** math.ceil(first_bits(largest, block)) - worst / PROBES
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -158,20 +234,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     none = F.lit(0).cast("long")
     if not largest:
         return rows.select(F.col("id").alias(id_col), none.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    passes = n_passes(largest, block, cosine, miss)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, ends = np.asarray(batch.column(2).flatten()), np.cumsum([0, *np.asarray(pa.compute.list_value_length(batch.column(2))).tolist()])
-            out = np.empty((batch.num_rows, passes), dtype=np.int64)
-            lengths = np.diff(ends)
-            for size in np.unique(lengths):
-                at = np.flatnonzero(lengths == size)
-                out[at] = projection_keys(values[ends[at][:, None] + np.arange(size)], passes)
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(out) + 1) * passes).astype(np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["rep", "code", "keys"])
-
-    keyed = classes.select("rep", "code", "v").mapInArrow(keys, "rep long, code long, keys array<long>")
+    passes = passes_for(meeting(classes, largest, block, cosine), miss)
+    run, schema = _keys(passes)
+    keyed = classes.select("rep", "code", "v").mapInArrow(run, schema)
     placed = _blocks(keyed, classes.select("rep", "code", "v", "size"), passes, block)
     found = _rounds(spark, placed, passes, block, cosine)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
