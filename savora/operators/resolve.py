@@ -13,7 +13,7 @@ from savora.functions.text import address_tokens, composite_similarity, jaccard,
 from savora.operators.quality import may_reach
 from savora.params import Params
 
-DECISIONS = "mid long, shop_id long, action string, reason string, score double, new_name string"
+DECISIONS = "mid {id}, shop_id {id}, action string, reason string, score double, new_name string"
 
 
 def unreviewed(mentions: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -65,8 +65,10 @@ def align_in_order(mentions: DataFrame, shops: DataFrame, p: Params) -> DataFram
 
     A fold over each city in the order of mentions (Python: every step depends on the last). A city's
     known shops and its mentions come to one task as a sorted stream; what is kept in memory are the
-    city's names. Shops that are new get the id of the mention that made them, negated.
+    city's names. Shops that are new get the id of the mention that made them, negated; mid may be long or a decimal(38,0).
     """
+    kind = dict(mentions.dtypes)["mid"]
+    number = pa.decimal128(38, 0) if kind.startswith("decimal") else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         city: object = object()
@@ -100,11 +102,11 @@ def align_in_order(mentions: DataFrame, shops: DataFrame, p: Params) -> DataFram
                         known.append((-row["id"], norm, place))
                         by_norm[norm] = -row["id"]
                 out.append(d)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("mid", pa.int64()), ("shop_id", pa.int64()), ("action", pa.string()), ("reason", pa.string()), ("score", pa.float64()), ("new_name", pa.string())]))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("mid", number), ("shop_id", number), ("action", pa.string()), ("reason", pa.string()), ("score", pa.float64()), ("new_name", pa.string())]))
 
-    old = shops.where("status = 'active'").select("city", F.lit(0).alias("kind"), F.col("shop_id").alias("id"), "name_norm", F.col("address").alias("address_text"))
+    old = shops.where("status = 'active'").select("city", F.lit(0).alias("kind"), F.col("shop_id").cast(kind).alias("id"), "name_norm", F.col("address").alias("address_text"))
     new = mentions.select("city", F.lit(1).alias("kind"), F.col("mid").alias("id"), "name_norm", "address_text")
-    return old.unionByName(new).repartition("city").sortWithinPartitions("city", "kind", "id").mapInArrow(run, DECISIONS)
+    return old.unionByName(new).repartition("city").sortWithinPartitions("city", "kind", "id").mapInArrow(run, DECISIONS.format(id=kind))
 
 
 def backfilled(shops: DataFrame, mentions: DataFrame, columns: tuple[str, ...]) -> DataFrame:

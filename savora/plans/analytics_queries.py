@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from savora.functions.text import is_open, open_ranges
 from savora.operators import analytics, liveness, quality, recommend, resolve, scoring
 from savora.params import TABLES as P
-from savora.plans.bindings import ROLES_SQL, SHOPS_SQL, TRACKS_SQL, mentions, shops, table, tracks
+from savora.plans.bindings import ROLES_SQL, SHOPS_SQL, TRACKS_SQL, mentions, shops, table, tracks, unresolved
 from savora.plans.ranking_queries import FACTS, RANKED, items_of, with_, with_cuisine
 
 LAST = datetime(2024, 1, 30)
@@ -165,8 +165,8 @@ QUERIES = {
     "field_completeness": lambda s, d: quality.completeness(mentions(s, d)),
     "influencer_intrusion": lambda s, d: quality.influencer_intrusion(items_of(s, d), mentions(s, d), ("viral",)),
     "brand_notice": lambda s, d: quality.brand_notice(mentions(s, d), shops(s, d), P),
-    "fuzzy_align": lambda s, d: resolve.decisions(resolve.fuzzy_matches(mentions(s, d).where("shop_id is null").select("mid", "city", "name_norm", "address_text").dropDuplicates(["mid"]), shops(s, d), P), P),
-    "align_in_order": lambda s, d: resolve.align_in_order(mentions(s, d).where("shop_id is null").dropDuplicates(["mid"]), shops(s, d), P),
+    "fuzzy_align": lambda s, d: resolve.decisions(resolve.fuzzy_matches(unresolved(s, d).select("mid", "city", "name_norm", "address_text").distinct(), shops(s, d), P), P),
+    "align_in_order": lambda s, d: resolve.align_in_order(unresolved(s, d).dropDuplicates(["mid", "city", "name_norm", "address_text"]), shops(s, d), P),
     "exact_align": lambda s, d: resolve.exact_matches(mentions(s, d).where("shop_id is null"), shops(s, d), aliases(s, d)).select("mid", "city", "name_norm", "matched_id"),
     "mention_dedup": lambda s, d: resolve.deduplicated(mentions(s, d)).select("content_id", "shop_name", "evidence", "mid"),
     "recommend_taste": taste,

@@ -48,7 +48,7 @@ SHOPS_SQL = """shops AS (
 )"""
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, parts: bool = False) -> DataFrame:
     line, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     customer, supplier, nation = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
     author = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("n_regionkey").cast("string")).alias("author_city"))
@@ -67,10 +67,16 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag != "N", F.array(pick(COMPLAINTS, F.col("l_suppkey")))).otherwise(F.array().cast("array<string>")).alias("complaints"),
         F.when(number % 4 != 0, F.concat(F.lit("note "), pick(PRAISE, F.col("l_orderkey")))).alias("evidence"), "author_city", "content_city",
         F.when(F.col("l_suppkey") % 5 != 0, F.concat(F.lit("Lane "), F.col("p_size").cast("string"))).alias("address_text"),
-        (0.5 + F.col("l_discount") * 5).alias("confidence"),
+        (0.5 + F.col("l_discount") * 5).alias("confidence"), *([F.col("l_partkey").alias("part_id")] if parts else []),
     )
 
 
+def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions without a shop. Lines that differ in their part only share mid, so here the part is in it: mid * 10^12 + part, a decimal."""
+    rows = mentions(spark, sf_dir, parts=True).where("shop_id is null").dropDuplicates()
+    return rows.withColumn("mid", (F.col("mid").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("part_id")).cast("decimal(38,0)")).drop("part_id")
+
+
 def sql_list(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
