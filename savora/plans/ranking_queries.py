@@ -184,7 +184,7 @@ SNAPSHOTS_SQL = f"""{ROLES_SQL}, months AS (SELECT DISTINCT city, date_trunc('mo
 
 
 def city_list_of(s: SparkSession, d: str) -> DataFrame:
-    cities = shops(s, d).where("shop_id % 7 <> 0").select("city").distinct()
+    cities = shops(s, d).select("city").distinct()
     return ranking.city_list(cities, mentions(s, d).select("city", "content_id").distinct(), shops(s, d), items_of(s, d))
 
 
