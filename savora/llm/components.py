@@ -17,14 +17,13 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     summed up (a minimum) and joined back.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-edges")
+    mark = _mark(now)
     for _ in range(100):
         large = _step(now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
         after = materialize(_step(large, larger=False), f"{tag}-round")
-        # both are distinct: of equal size, one within the other, they are equal
-        same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
         discard(now)
-        now = after
-        if same:
+        now, before, mark = after, mark, _mark(after)
+        if mark == before:
             break
     else:
         raise RuntimeError("components did not settle in 100 rounds")
@@ -32,6 +31,11 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Tells sets of edges apart: their number, and two sums of their hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(k), "a", "b").cast("decimal(20,0)")) for k in (1, 2)]).first())
+
+
 def _step(pairs: DataFrame, larger: bool) -> DataFrame:
     """Links neighbours of a node to the least of its neighbourhood: the larger ones, or (of edges that point down) the node and its smaller ones."""
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from savora.llm.common import discard, materialize, read_table, release
-from savora.llm.words import chunks, mix, windows, word_hashes
+from savora.llm.words import chunks, mix, prefix_sums, windows, word_hashes
 
 WINDOW = 13
 LAST = 2**63 - 1
@@ -78,8 +78,8 @@ def _prints(target: int):
         for batch in batches:
             for at, texts in chunks(batch.column(2).to_pylist()):
                 words, counts = word_hashes(texts)
-                sums = np.concatenate([[0], np.cumsum(words * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))]).astype(np.uint64)
-                plain = np.concatenate([[0], np.cumsum(words)]).astype(np.uint64)
+                sums = prefix_sums(words * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
+                plain = prefix_sums(words)
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 total = plain[ends] - plain[starts]

@@ -45,6 +45,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
+def prefix_sums(x: np.ndarray) -> np.ndarray:
+    """0 and the sums of the first 1, 2, ... numbers, modulo 2^64 (never by way of floats)."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -57,8 +64,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     space = _SPACE[flat]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(byte_values(lower)[flat] * powers(BASE, room)[: len(flat)], out=sums[1:])
+    sums = prefix_sums(byte_values(lower)[flat] * powers(BASE, room)[: len(flat)])
     words = (sums[ends] - sums[starts]) * powers(_INVERSE, room)[starts]
     offsets = np.cumsum([1, *[len(t) + 1 for t in texts]])
     return mix(words + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.diff(np.searchsorted(starts, offsets))
