@@ -6,16 +6,19 @@ So the root is the leftmost pair of lowest rank. A merge changes at most three l
 logarithmic time, and merging ends when the root holds no pair. Trees of one size are worked on
 together as the rows of one array: in each round, every tree takes its own root's merge.
 
-Pre-tokens of an Arrow batch are encoded once; a worker remembers those it has met (the memory is
-emptied when it reaches ``REMEMBER`` entries, which changes only the time taken).
+Pre-tokens of a run of texts are encoded once; a worker remembers short ones that it has met (the
+memory is emptied when it holds ``REMEMBER`` characters, which changes only the time taken). Trees
+are worked on ``LEAVES`` leaves at a time; a single longer pre-token takes a tree of its own.
 
 Defined results: a null text is an empty one and has no ids; the special token's string in a text
-is that token; null ids decode to an empty text; rows are independent, so ties and repeats don't
-matter; other columns pass through unchanged, except one named like the output, which is replaced.
+is that token; null ids decode to an empty text; very long texts are encoded whole; rows are
+independent, so ties and repeats don't matter; an empty table gives no rows; other columns pass
+through unchanged, except one named like the output, which is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -32,8 +35,9 @@ from pyspark.sql import types as T
 
 from savora.llm.common import read_table
 
-REMEMBER = 400_000
-CHARS_AT_ONCE = 2_000_000
+REMEMBER, SHORT = 600_000, 32
+LEAVES = 250_000
+CHARS_AT_ONCE = 500_000
 
 #: Fixed value: the pre-tokenizer's pattern, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,6 +77,7 @@ class ByteBpe:
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
         self.no_rank = len(merges)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
@@ -85,7 +90,7 @@ class ByteBpe:
         sizes = np.array([1 << max(0, len(w) - 1).bit_length() for w in words], dtype=np.int64)
         for size in np.unique(sizes):
             chosen = np.flatnonzero(sizes == size)
-            step = max(1, 4_000_000 // int(size))
+            step = max(1, LEAVES // int(size))
             for k in range(0, len(chosen), step):
                 part = chosen[k : k + step]
                 for i, ids in zip(part, self._merge_trees([words[i] for i in part], int(size)), strict=True):
@@ -157,13 +162,17 @@ class ByteBpe:
                 at = m.end()
             parts.append([*row, *self.pieces(text[at:])] if row else self.pieces(text))
         new = [w for w in set(chain.from_iterable(parts)) if w not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(set(chain.from_iterable(parts)))
         words = [w for w in new if isinstance(w, str)]
-        known.update(zip(words, self.merge([w.encode() for w in words]), strict=True))
-        known.update((w, np.int32(w).tobytes()) for w in new if not isinstance(w, str))
-        return [np.frombuffer(b"".join(map(known.__getitem__, row)), dtype=np.int32) for row in parts]
+        fresh = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
+        fresh |= {w: np.int32(w).tobytes() for w in new if not isinstance(w, str)}
+        rows = [np.frombuffer(b"".join([known.get(w) or fresh[w] for w in row]), dtype=np.int32) for row in parts]
+        short = [w for w in words if len(w) <= SHORT]
+        self.held += sum(map(len, short))
+        if self.held > REMEMBER:
+            known.clear()
+            self.held = sum(map(len, short))
+        known.update((w, fresh[w]) for w in short)
+        return rows
 
     def decode(self, ids: np.ndarray) -> str:
         lengths = self.lengths[ids]
@@ -239,9 +248,22 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", path: st
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    there = decode(encode(docs.select(id_col, text_col), text_col, "ids", path), "ids", "decoded", path)
-    ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
-    return there.select(id_col, F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    """Each row's text encoded, and decoded again from its ids, in one pass: id_col, n_tokens, ids_sha256, decoded_sha256."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([slim.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path or vocabulary_path())
+        for batch in batches:
+            for a, b in _runs(batch.column(1)):
+                rows = bpe.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+                columns = [[len(r) for r in rows], [sha(",".join(map(str, r.tolist()))) for r in rows], [sha(bpe.decode(r)) for r in rows]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]], names=schema.names)
+
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
