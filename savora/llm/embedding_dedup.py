@@ -1,7 +1,7 @@
 """Embedding near-dedup by sorted projection passes.
 
-Equal vectors of a label are one class from the start; its least id represents it and its size
-counts. Each pass draws random hyperplanes; the sides a vector lies on, concatenated, are its key,
+Equal vectors of a label are one class from the start, which goes by a number of its own; its least
+id and its size count. Each pass draws random hyperplanes; the sides a vector lies on, concatenated, are its key,
 and classes are ordered by (label, key). The order is cut into blocks, and each block's vectors are
 compared, in double precision, with those of their own and the next block: a bounded window. Two
 vectors that share so many first bits of their keys that no more than a block of vectors shares
@@ -18,7 +18,9 @@ group larger than the window), the window is moved on, in each pass, until no li
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
 those with a null label, are linked with nothing; vectors of different sizes are not compared; a
 null id is linked with nothing, has a null component and is kept; rows that share an id and a
-vector count as copies; an empty table gives no rows.
+vector count as copies; rows that share an id but not the vector are each linked on their own and
+belong to one component; ids must be integers or strings of digits; an empty table gives no rows;
+further columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -228,8 +230,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """For every row: id_col, n_links, component_id, kept."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col, label_col)
-    classes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    classes = materialize(classes.withColumn("code", F.xxhash64("label", F.size("v"))), "vector-classes")
+    classes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
+    classes = materialize(classes.select("*", F.xxhash64("label", F.size("v")).alias("code"), F.monotonically_increasing_id().alias("rep")), "vector-classes")
     largest = classes.groupBy("code").count().agg(F.max("count")).first()[0] or 0
     none = F.lit(0).cast("long")
     if not largest:
@@ -240,10 +242,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     placed = _blocks(keyed, classes.select("rep", "code", "v", "size"), passes, block)
     found = _rounds(spark, placed, passes, block, cosine)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(), "vector-components")
-    settled = classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    settled = settled.select("label", "v", (F.coalesce("links", none) + F.col("size") - 1).alias("links"), F.coalesce("root", "rep").alias("root"))
-    there = rows.where("ok").join(settled, ["label", "v"]).select("id", "links", "root")
+    there = materialize(rows.where("ok").join(classes.select("label", "v", "rep", "size", "least"), ["label", "v"]).select("id", "rep", "size", "least"), "vector-rows")
+    # rows that share an id and lie in several classes tie these together
+    shared = there.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    ties = there.join(shared.select("id", "a"), "id").select("a", F.col("rep").alias("b"))
+    edges = found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(ties.where("a <> b")).distinct()
+    roots = components(edges, "vector-components")
+    settled = classes.select("rep", "least").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("root", "rep").alias("root"))
+    settled = materialize(settled, "vector-settled")
+    first = settled.groupBy("root").agg(F.min("least").alias("component"))
+    settled = settled.join(first, "root").join(counts, "rep", "left").select("rep", "component", "links")
+    there = there.join(settled, "rep").select("id", (F.coalesce("links", none) + F.col("size") - 1).alias("links"), F.col("component").alias("root"))
     there = there.unionByName(rows.where("not ok").select("id", none.alias("links"), F.col("id").alias("root")))
     return there.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
 

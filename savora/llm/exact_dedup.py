@@ -67,14 +67,14 @@ def keyed_state(spark: SparkSession, prints: DataFrame, path: str) -> DataFrame:
     return saved.groupBy("digest").agg(F.max(F.struct("batch", "size", "best")).alias("last")).select("digest", "last.size", "last.best")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """For every row: id_col, keep_id, group_size, kept, text_sha256."""
-    return _decided(located(docs, [id_col, text_col]), digest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, stored: bool = False) -> DataFrame:
+    """For every row: id_col, keep_id, group_size, kept, text_sha256; stored as in common.located."""
+    return _decided(located(docs, [id_col, text_col], stored), digest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops."""
-    rows = located(docs, docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """docs without the rows that exact_dedup drops; stored as in common.located."""
+    rows = located(docs, docs.columns, stored)
     c = {name: f"_c{k}" for k, name in enumerate(docs.columns)}
     slim = rows.select(F.col(c[id_col]).alias("_c0"), F.col(c[text_col]).alias("_c1"), "_at")
     kept = _decided(slim, sha256).where("kept").select("at")
@@ -111,7 +111,7 @@ def _decided(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read_table(spark, sf_dir, "documents"))
+    return exact_dedup(read_table(spark, sf_dir, "documents"), stored=True)
 
 
 OP9_SQL = r"""

@@ -1,18 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document of a source should appear target / source_size times. The whole part of that is
-given to each of its documents (certain copies). The rest f is an inclusion probability: each
-document draws a uniform u from a digest of its id, and documents are ranked by random odds
-divided by inclusion odds, (u / (1 - u)) / (f / (1 - f)). The sample is of a fixed size in words:
-the ranking is taken while it fits what is left of the target, and the document that comes nearest
-to the words still missing is added if that brings the source closer to its target.
+On the average, the documents of a source should appear target / source_size times. The whole part
+of that is given to each of its documents (certain copies). The rest f is the source's mean
+inclusion probability. A document's own inclusion odds are the source's odds f / (1 - f) times its
+weight: a column given by the caller, or size / (size + ``HALF``), so that fragments of a few words
+are rarely drawn. Each document draws a uniform u from a digest of its id, and documents are ranked
+by random odds divided by inclusion odds, (u / (1 - u)) / (weight * f / (1 - f)). The sample is of a
+fixed size in words: the ranking is taken while it fits what is left of the target, and the document
+that comes nearest to the words still missing is added if that brings the source closer to its target.
 
 Prefix sums over a source are global prefix sums over (source, rank), so that a source with a
 third of all rows is spread over many tasks. The draw depends on seed and id only: reruns agree.
 
 Defined results: a null or empty text has size 0 and takes nothing away; a null source is a
 source of its own, after all others; sources without words get the target 0; repeated ids draw
-alike and tie, broken by size; an empty table gives no rows.
+alike and tie, broken by size; weights that are null or not above 0 are never drawn (whole copies
+stay); very long texts count whole; an empty table gives no rows; further columns of any name are
+left alone.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from savora.llm.common import WORD, global_prefix, located, materialize, read_ta
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+HALF = 100
 
 
 def uniform(seed: str, key: Column) -> Column:
@@ -55,16 +60,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return stepped.select("_source", "_words", "_weight", F.least(cap, F.coalesce(settled, F.lit(0.0)) * F.col("_weight")).alias("_target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", carry: tuple[str, ...] = (), weight_col: str | None = None, half: int = HALF) -> DataFrame:
     """id, size, source_size, target, copies, taken, and the columns of carry, for every row of docs."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), *[F.col(c).alias(f"_with_{c}") for c in carry]), "mix-sizes")
+    weight = F.col(weight_col).cast("double") if weight_col else size / (size + half)
+    slim = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), weight.alias("_weight_in"), *[F.col(c).alias(f"_with_{c}") for c in carry]), "mix-sizes")
     aims = materialize(targets(slim.groupBy("_source").agg(F.sum("_size").alias("_words")), weights, most), "mix-targets")
     whole = F.when(F.col("_words") > 0, F.floor(F.col("_target") / F.col("_words"))).otherwise(0).cast("long")
     aims = aims.withColumn("_whole", whole).withColumn("_rest", F.col("_target") - F.col("_whole") * F.col("_words"))
     f = F.when(F.col("_words") > 0, F.col("_rest") / F.col("_words")).otherwise(0.0)
     u = uniform(seed, F.col("_id"))
-    rank = F.when(f > 0, (u / (1 - u)) / (f / (1 - f)))
+    rank = F.when((f > 0) & (F.col("_weight_in") > 0), (u / (1 - u)) / (F.col("_weight_in") * (f / (1 - f))))
     drawn = slim.join(aims, slim["_source"].eqNullSafe(aims["_source"])).select(slim["_source"], "_id", "_size", "_words", "_target", "_whole", "_rest", rank.alias("_rank"), *[f"_with_{c}" for c in carry])
     order = [F.col("_source").asc_nulls_last(), F.col("_rank").asc_nulls_last(), F.col("_id").asc_nulls_last(), F.col("_size").asc()]
     ranked = materialize(global_prefix(drawn, order, {"_before": "_size"}, "mix-order"), "mix-prefix")
@@ -85,9 +91,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs with each row as often as mix takes it."""
-    rows = located(docs, docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", stored: bool = False, **how) -> DataFrame:
+    """docs with each row as often as mix takes it; stored as in common.located."""
+    rows = located(docs, docs.columns, stored)
     c = {name: f"_c{k}" for k, name in enumerate(docs.columns)}
     copies = mix(rows, c[id_col], c[text_col], c[source_col], carry=("_at",), **how).where("copies > 0").select("_at", "copies")
     many = rows.join(copies, "_at").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -119,7 +125,7 @@ WITH sized AS (
   SELECT doc_id, s.source, size, words, target, whole, rest, CASE WHEN words > 0 THEN rest / words ELSE 0.0 END AS f,
     (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
   FROM sized s JOIN rested r ON s.source IS NOT DISTINCT FROM r.source
-), ranked AS (SELECT *, CASE WHEN f > 0 THEN (u / (1 - u)) / (f / (1 - f)) END AS rank FROM drawn
+), ranked AS (SELECT *, CASE WHEN f > 0 AND size > 0 THEN (u / (1 - u)) / ((CAST(size AS DOUBLE) / (size + 100)) * (f / (1 - f))) END AS rank FROM drawn
 ), ordered AS (
   SELECT *, row_number() OVER o AS n, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS through
   FROM ranked WINDOW o AS (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size)

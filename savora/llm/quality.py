@@ -8,13 +8,15 @@ the label good, from the forward-backward recursion, weighted by the lines' leng
 document's score.
 
 It is fitted on at most ``SAMPLE`` labelled documents (those with the smallest hash of their id;
-the bound is a parameter), whose lines carry their document's label. Features are made on the
+the bound is a parameter) and at most the first ``LINES`` lines of each, which carry their
+document's label; scoring reads all lines. Features are made on the
 executors; the driver gets indicator bits of sampled documents only. Scoring maps over whole texts
 and shuffles nothing.
 
 Defined results: a null or empty text, or one of blank lines only, counts as one empty line; rows
-are independent, so repeated rows get equal scores; without any usable label the score is 0.5; an
-empty table gives no rows; labels, lang, source and ids are never inputs of a score.
+are independent, so repeated rows get equal scores; very long texts are scored whole; without two
+classes of usable labels the score is 0.5; an empty table gives no rows; a column named like the
+output is replaced, others are left alone; labels, lang, source and ids are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from savora.llm.common import read_table
 
-SAMPLE = 4000
+SAMPLE, LINES = 4000, 2000
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -150,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = usable.where(F.crc32(F.col("id").cast("string")) % FOLDS != 0)
     chosen = usable.groupBy("id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most ``sample`` rows are broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "good")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # rows that share an id count once, by their greatest text, so there are at most ``sample`` rows
+    texts = texts.groupBy("id").agg(F.max("text").alias("text"), F.max("good").alias("good")).select("text", "good")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,9 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bits, _, counts = features(batch["text"].tolist())
                 packed = np.packbits(bits.astype(bool), axis=1)
                 ends = np.cumsum(counts)
-                yield pd.DataFrame({"good": batch["good"].astype("int32"), "bits": [packed[b - n : b].tobytes() for b, n in zip(ends, counts, strict=True)]})
+                yield pd.DataFrame({"good": batch["good"].astype("int32"), "bits": [packed[b - n : min(b, b - n + LINES)].tobytes() for b, n in zip(ends, counts, strict=True)]})
 
-    rows = sorted((r.good, bytes(r.bits)) for r in texts.mapInPandas(pack, "good int, bits binary").limit(2 * sample).collect())
+    rows = sorted((r.good, bytes(r.bits)) for r in texts.mapInPandas(pack, "good int, bits binary").collect())
     if len({g for g, _ in rows}) < 2:
         return None
     width = -(-N_BITS // 8)
