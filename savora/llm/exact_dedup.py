@@ -4,19 +4,24 @@ A first pass writes each row's fingerprint: digest of the normalised text, stabl
 code points, and a content locator (file and row in it). The fingerprints are a stream; its keyed
 state, one entry for each digest, lies on disk (RocksDB), never expires, and retains the
 digest, the number of rows and the best row's identifier and locator. The map side combines
-before the shuffle, so a group with a third of all rows sends one row a task.
-
-Digests only find the hits. The full bytes are then compared: the smallest and the largest
-normalised text of each digest, again combined before the shuffle, must be equal. Rows of a
-digest for which they are not are grouped by the text itself.
-
-Defined results: a null text counts as empty, and all empty texts are one group; a null id loses
-to any other; of rows that repeat an id and its text, the first in the files stays; an empty table
-gives no rows; further columns of any name are left alone.
+before the shuffle, so a group with a third of all rows sends one row a task. With ``state_dir`` the
+state outlives the call: rows of a later delivery are held against all earlier ones.
+
+Digests only find the hits: digests that the state has met more than once. For these, and only for
+these, the full bytes are fetched and compared: the smallest and the largest normalised text of the
+delivery's rows and of the retained row that the locator points to, again combined before the
+shuffle, must be equal. Rows of a digest for which they are not are grouped by the text itself.
+
+Defined results: a null text counts as empty, and all empty texts are one group; very long texts
+are compared whole; a null id loses to any other; of rows that repeat an id and its text, the first
+in the files stays; an empty table gives no rows; further columns of any name are left alone. A
+later delivery's best row can be longer than one kept before: it is then the one to keep, and the
+earlier decision stands until its delivery is read again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,59 +44,84 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def keyed_state(spark: SparkSession, prints: DataFrame, path: str) -> DataFrame:
-    """Streams the fingerprints at path through keyed state: digest, size, best (a struct; the least rank wins)."""
+def keyed_state(spark: SparkSession, prints: DataFrame, folder: str, files_a_batch: int | None = None) -> DataFrame:
+    """Streams the fingerprints under folder that were not met yet through its keyed state: digest, size, best (a struct; the least rank wins) of all digests met in this call."""
     out = scratch_path(spark, "dedup-state")
-    stream = spark.readStream.schema(prints.schema).parquet(path)
+    reader = spark.readStream.schema(prints.schema).option("recursiveFileLookup", "true")
+    stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(f"{folder}/prints")
     state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min("rank").alias("best"))
-    batches: set[int] = set()
 
     def save(changed: DataFrame, batch: int) -> None:  # a batch that is repeated replaces its own output
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        batches.add(batch)
 
     before = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
-        start = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", scratch_path(spark, "dedup-log")).trigger(availableNow=True)
-        start.start().awaitTermination()
+        query = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if not batches:
-        return spark.createDataFrame([], state.schema)
+    none = spark.createDataFrame([], state.schema)
+    none.withColumn("batch", F.lit(-1)).write.mode("append").partitionBy("batch").parquet(out)  # so that there is a table even without batches
     saved = spark.read.schema(state.withColumn("batch", F.lit(0)).schema).parquet(out)
-    if len(batches) == 1:
-        return saved.drop("batch")
-    return saved.groupBy("digest").agg(F.max(F.struct("batch", "size", "best")).alias("last")).select("digest", "last.size", "last.best")
+    # a digest met in several batches has its last state
+    return saved.groupBy("digest").agg(F.max_by(F.struct("size", "best"), "batch").alias("last")).select("digest", "last.size", "last.best")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, stored: bool = False) -> DataFrame:
-    """For every row: id_col, keep_id, group_size, kept, text_sha256; stored as in common.located."""
-    return _decided(located(docs, [id_col, text_col], stored), digest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, stored: bool = False, state_dir: str | None = None) -> DataFrame:
+    """For every row: id_col, keep_id, group_size, kept, text_sha256; stored as in common.located.
 
+    state_dir: a folder for the state, in storage that all executors share, given again with the next delivery.
+    """
+    return _decided(_placed(docs, [id_col, text_col], stored, state_dir), digest, state_dir).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, state_dir: str | None = None) -> DataFrame:
     """docs without the rows that exact_dedup drops; stored as in common.located."""
-    rows = located(docs, docs.columns, stored)
-    c = {name: f"_c{k}" for k, name in enumerate(docs.columns)}
-    slim = rows.select(F.col(c[id_col]).alias("_c0"), F.col(c[text_col]).alias("_c1"), "_at")
-    kept = _decided(slim, sha256).where("kept").select("at")
-    return rows.join(kept, rows["_at"] == kept["at"], "left_semi").select(*[F.col(v).alias(k) for k, v in c.items()])
+    names = [id_col, text_col, *[x for x in docs.columns if x not in (id_col, text_col)]]
+    rows = _placed(docs, names, stored, state_dir)
+    kept = _decided(rows, sha256, state_dir).where("kept").select("at")
+    c = {name: f"_c{k}" for k, name in enumerate(names)}
+    return rows.join(kept, rows["_at"] == kept["at"], "left_semi").select(*[F.col(c[name]).alias(name) for name in docs.columns])
+
+
+def _placed(docs: DataFrame, names: list[str], stored: bool, state_dir: str | None) -> DataFrame:
+    """The columns named as _c0 (id), _c1 (text) ..., with _at; under a lasting state they are kept where locators can point to."""
+    if state_dir is None:
+        return located(docs, names, stored)
+    path = f"{state_dir}/texts/{uuid.uuid4().hex}"
+    chosen = docs.select(*[F.col(f"`{name}`").alias(f"_c{k}") for k, name in enumerate(names)])
+    chosen.write.parquet(path)
+    return located(docs.sparkSession.read.schema(chosen.schema).parquet(path), chosen.columns, stored=True)
+
+
+def _keyed(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """Each row's digests, normalised text and rank (the least of a group stays)."""
+    keyed = rows.select(F.col("_c0").alias("id"), F.col("_at").alias("at"), F.coalesce(F.char_length("_c1"), F.lit(0)).alias("n"), normal(F.col("_c1")).alias("body"))
+    keyed = keyed.withColumn("sha", sha256(F.col("body"))).withColumn("digest", F.col("sha") if digest is sha256 else digest(F.col("body")))
+    return keyed.withColumn("rank", F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("at").alias("at")))
 
 
-def _decided(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def _retained(spark: SparkSession, best: DataFrame) -> DataFrame | None:
+    """digest, body of retained rows that earlier deliveries hold, fetched by their locators."""
+    files = [r.file for r in best.select("best.at.file").distinct().collect()]  # files, not rows
+    if not files:
+        return None
+    old = spark.read.schema("_c1 string").parquet(*files).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), normal(F.col("_c1")).alias("body"))
+    return best.select("digest", F.col("best.at").alias("at")).join(old, "at").select("digest", "body")
+
+
+def _decided(rows: DataFrame, digest: Callable[[Column], Column], state_dir: str | None = None) -> DataFrame:
     spark = rows.sparkSession
-    body = normal(F.col("_c1"))
-    keyed = rows.select(F.col("_c0").alias("id"), F.col("_at").alias("at"), F.coalesce(F.char_length("_c1"), F.lit(0)).alias("n"), body.alias("body"))
-    keyed = keyed.withColumn("sha", sha256(F.col("body"))).withColumn("digest", F.col("sha") if digest is sha256 else digest(F.col("body")))
-    rank = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("at").alias("at"))
-    path = scratch_path(spark, "dedup-prints")
-    printed = keyed.select("digest", rank.alias("rank"), *([] if digest is sha256 else ["sha"]))
+    folder = state_dir or scratch_path(spark, "dedup")
+    keyed = _keyed(rows, digest)
+    printed = keyed.select("digest", "rank", *([] if digest is sha256 else ["sha"]))
+    path = f"{folder}/prints/{uuid.uuid4().hex}"
     printed.write.parquet(path)
     prints = spark.read.schema(printed.schema).parquet(path)
-    state = keyed_state(spark, prints, path)
+    state = materialize(keyed_state(spark, prints, folder), "dedup-decided")
     sha = F.col("digest") if digest is sha256 else F.col("sha")
 
     def decided(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
@@ -100,12 +130,18 @@ def _decided(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
             F.col("rank.id").alias("id"), F.col("rank.at").alias("at"), best["id"].alias("keep_id"), F.col("size").alias("group_size"), (F.col("rank.at") == best["at"]).alias("kept"), sha.alias("text_sha256")
         )
 
-    # the bytes behind the digests; where two texts meet in one digest, the text itself is the key
-    spans = keyed.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    # the bytes behind the hits; where two texts meet in one digest, the text itself is the key
+    hits = materialize(state.where("size > 1").select("digest"), "dedup-hits")
+    bodies = keyed.select("digest", "body").join(hits, "digest", "left_semi")
+    if state_dir:
+        here = prints.select(F.col("rank.at").alias("at"))
+        before = _retained(spark, state.where("size > 1").join(here, F.col("best.at") == F.col("at"), "left_anti"))
+        bodies = bodies if before is None else bodies.unionByName(before)
+    spans = bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     clashes = materialize(spans.where("low <> high").select("digest"), "dedup-clashes")
     if clashes.isEmpty():
         return decided(prints, state, ["digest"])
-    whole = keyed.select("digest", rank.alias("rank"), "sha", "body").join(clashes, "digest", "left_semi")
+    whole = keyed.select("digest", "rank", "sha", "body").join(clashes, "digest", "left_semi")
     apart = decided(whole, whole.groupBy("body").agg(F.count(F.lit(1)).alias("size"), F.min("rank").alias("best")), ["body"])
     return decided(prints.join(clashes, "digest", "left_anti"), state, ["digest"]).unionByName(apart)
 
