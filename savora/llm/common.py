@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,12 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """One collection here and in the driver's JVM, so that Spark's cleaner removes the shuffle files of plans that are out of reach."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def located(docs: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
     """The columns as _c0, _c1 ... with _at, which tells the row's place in files.
 

@@ -1,11 +1,13 @@
 """Substring dedup: windows of words that a document with a smaller id also has are removed.
 
-Level-wise doubling. Windows of the target length w can only repeat where windows of half that
-length repeat, so those are tried first, and what repeats at one length alone is extended to twice
-that length (or to the target, if that is less), until the target is reached or no candidate
-survives. At the first length not every window is sent: of the half-length windows inside each
-target window, the one with the least hash stands for it. Equal target windows have the same, so
-nothing is lost, and about a quarter of the positions are sent.
+Level-wise doubling. A window can only repeat where the shorter windows inside it repeat, so what
+repeats at one length alone is extended to twice that length (at last to the target), level after
+level, until the target is reached or no candidate survives: 7, 13 for a target of 13 and 7, 13, 25,
+50 for one of 50. At the first length not every window is sent: of those inside each window of the
+second length, the one with the least hash stands for it. Equal longer windows have the same, so
+nothing is lost, and about a quarter of the positions are sent. At the second length all windows
+whose stand-in repeats are counted; from the third on, those whose first and last parts of the
+length before both repeat.
 
 Keys are grouped with sums before the shuffle, so a passage in a third of all documents sends one
 row a task; what joins back by key are slim rows, which adaptive execution splits where a key is
@@ -13,8 +15,9 @@ hot. Whole copies (equal word sequences) are settled by their digest before any
 
 Defined results: a null or empty text has no words; fewer words than a window are never removed; a
 null id counts as larger than all others; rows that share an id don't remove each other's words;
-documents of equal ids and texts get equal results; an empty table gives no rows; further columns
-of any name are left alone.
+documents of equal ids and texts get equal results; very long texts are worked on whole; ids must
+be integers or strings of digits; an empty table gives no rows; further columns of any name are left
+alone.
 """
 
 from __future__ import annotations
@@ -28,24 +31,27 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm.common import discard, materialize, read_table
+from savora.llm.common import discard, materialize, read_table, release
 from savora.llm.words import chunks, mix, prefix_sums, windows, word_hashes
 
 WINDOW = 13
+FIRST = 7
 LAST = 2**63 - 1
 
 
-def lengths(target: int) -> tuple[int, int]:
-    """Half of the target, rounded up, and the target."""
-    return -(-target // 2), target
+def lengths(target: int, first: int = FIRST) -> list[int]:
+    """The lengths tried one after another: each at most twice the one before, the last is the target."""
+    out = [target]
+    while out[0] > first:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
-def window_keys(words: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the target length: its hash, and the hash of the half-length window that stands for it."""
-    half, _ = lengths(target)
-    whole, parts = windows(words, target, 11), windows(words, half, 12)
+def window_keys(words: np.ndarray, short: int, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the longer length: its hash, and the least hash of the shorter windows inside it, which stands for it."""
+    whole, parts = windows(words, long, 11), windows(words, short, 12)
     anchor = parts[: len(whole)]
-    for j in range(1, target - half + 1):
+    for j in range(1, long - short + 1):
         anchor = np.minimum(anchor, parts[j : j + len(whole)])
     return whole.view(np.int64), anchor.view(np.int64)
 
@@ -73,7 +79,7 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def _prints(target: int):
+def _prints(short: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch.column(2).to_pylist()):
@@ -85,19 +91,21 @@ def _prints(target: int):
                 total = plain[ends] - plain[starts]
                 # sum of word * (2 * place + 1), place counted inside the text
                 placed = sums[ends] - sums[starts] - total * (starts.astype(np.uint64) * np.uint64(2))
-                _, anchor = window_keys(words, target)
-                start, owner = _inside(counts, target, len(words))
+                _, anchor = window_keys(words, short, long)
+                start, owner = _inside(counts, long, len(words))
                 anchor = anchor[start]
                 first = _distinct(owner, anchor)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).slice(at, len(texts)) for k in (0, 1)], pa.array(counts.astype(np.int64)), pa.array(mix(placed).view(np.int64)), pa.array(mix(total ^ np.uint64(target)).view(np.int64)), _lists(owner[first], anchor[first], len(texts))],
+                    [*[batch.column(k).slice(at, len(texts)) for k in (0, 1)], pa.array(counts.astype(np.int64)), pa.array(mix(placed).view(np.int64)), pa.array(mix(total ^ np.uint64(long)).view(np.int64)), _lists(owner[first], anchor[first], len(texts))],
                     names=["uid", "id", "n_words", "w1", "w2", "anchors"],
                 )
 
     return run, "uid long, id long, n_words long, w1 long, w2 long, anchors array<long>"
 
 
-def _candidates(target: int):
+def _candidates(short: int, long: int, anchored: bool):
+    """Windows of the longer length that may repeat, given each row's repeating windows of the shorter one (``anchored``: stand-ins only)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -105,16 +113,22 @@ def _candidates(target: int):
                 alive = batch.column(3).slice(at, len(texts))
                 alive_owner = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(alive)))
                 words, counts = word_hashes(texts)
-                whole, anchor = window_keys(words, target)
-                start, owner = _inside(counts, target, len(words))
-                whole, anchor = whole[start], anchor[start]
-                # an anchor's hash and its text's number, in one key
+                # a window's hash and its text's number, in one key
                 salt = lambda o, a: mix(a.view(np.uint64) + o.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                there = np.isin(salt(owner, anchor), salt(alive_owner, np.asarray(alive.flatten())))
-                whole, anchor, owner = whole[there], anchor[there], owner[there]
-                first = _distinct(owner, whole, anchor)
+                known = salt(alive_owner, np.asarray(alive.flatten()))
+                start, owner = _inside(counts, long, len(words))
+                if anchored:
+                    whole, part = window_keys(words, short, long)
+                    whole, part = whole[start], part[start]
+                    there = np.isin(salt(owner, part), known)
+                else:
+                    parts = windows(words, short, 11).view(np.int64)
+                    whole, part = windows(words, long, 11).view(np.int64)[start], parts[start]
+                    there = np.isin(salt(owner, part), known) & np.isin(salt(owner, parts[start + long - short]), known)
+                whole, part, owner = whole[there], part[there], owner[there]
+                first = _distinct(owner, whole, part)
                 owner = owner[first] + at
-                yield pa.RecordBatch.from_arrays([pa.array(whole[first]), pa.array(anchor[first]), pa.array(ids[owner]), pa.array(uid[owner])], names=["h", "a", "id", "uid"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole[first]), pa.array(part[first]), pa.array(ids[owner]), pa.array(uid[owner])], names=["h", "a", "id", "uid"])
 
     return run, "h long, a long, id long, uid long"
 
@@ -152,11 +166,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("uid", F.xxhash64("_id", "text")).withColumn("id", F.coalesce(F.col("_id").cast("long"), F.lit(LAST)))
-    run, schema = _prints(target)
+    steps = lengths(target) if target > FIRST else [target, target]
+    run, schema = _prints(*steps[:2])
     prints = materialize(keyed.select("uid", "id", "text").mapInArrow(run, schema), "repeat-prints")
     same = prints.groupBy("w1", "w2", "n_words").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = materialize(prints.join(same, ["w1", "w2", "n_words"]).where("id > first").select("uid").distinct(), "repeat-copies")
-    gone = _removed_windows(spark, keyed, prints, copies, target)
+    gone = _removed_windows(spark, keyed, prints, copies, steps)
     marks = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("uid", F.array().cast("array<long>").alias("gone"), F.lit(True).alias("copy")))
     found = keyed.join(marks, "uid", "left").select("_id", "text", "gone", "copy")
     id_type = rows.schema["_id"].dataType.simpleString()
@@ -164,25 +179,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_text", "spans")
 
 
-def _removed_windows(spark: SparkSession, keyed: DataFrame, prints: DataFrame, copies: DataFrame, target: int) -> DataFrame:
-    """uid, gone: hashes of the windows to remove, for documents that aren't whole copies."""
+def _removed_windows(spark: SparkSession, keyed: DataFrame, prints: DataFrame, copies: DataFrame, steps: list[int]) -> DataFrame:
+    """uid, gone: hashes of the windows of the last length to remove, for documents that aren't whole copies."""
     sent = prints.select("uid", "w1", F.explode("anchors").alias("a"))
     repeated = materialize(sent.groupBy("a").agg(F.min("w1").alias("x"), F.max("w1").alias("y")).where("x <> y").select("a"), "repeat-anchors")
-    none = spark.createDataFrame([], "uid long, gone array<long>")
-    if repeated.isEmpty():
-        return none
+    release(spark)
     alive = sent.select("uid", "a").join(repeated, "a", "left_semi").groupBy("uid").agg(F.collect_set("a").alias("alive")).join(copies, "uid", "left_anti")
-    texts = materialize(keyed.select("uid", "id", "text").join(alive, "uid"), "repeat-texts")
-    discard(prints, repeated)
-    run, schema = _candidates(target)
-    extended = texts.mapInArrow(run, schema)
-    firsts = extended.groupBy("h", "a").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "a", "first")
-    firsts = materialize(firsts, "repeat-windows")
-    if firsts.isEmpty():
-        return none
-    later = extended.join(firsts, ["h", "a"]).where("id > first")
-    gone = materialize(later.groupBy("uid").agg(F.collect_set("h").alias("gone")), "repeat-gone")
-    discard(texts, firsts)
+    used = [prints, repeated]
+    for k, (short, long) in enumerate(zip(steps, steps[1:])):
+        texts = materialize(keyed.select("uid", "id", "text").join(alive, "uid"), "repeat-texts")
+        discard(*used)
+        release(spark)
+        run, schema = _candidates(short, long, anchored=k == 0)
+        extended = texts.mapInArrow(run, schema)
+        firsts = materialize(extended.groupBy("h", "a").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "a", "first"), "repeat-windows")
+        release(spark)
+        used = [texts, firsts]
+        if firsts.isEmpty():  # no candidate survives
+            discard(*used)
+            return spark.createDataFrame([], "uid long, gone array<long>")
+        met = extended.join(firsts, ["h", "a"])
+        if k + 2 < len(steps):
+            alive = met.groupBy("uid").agg(F.collect_set("h").alias("alive"))
+    gone = materialize(met.where("id > first").groupBy("uid").agg(F.collect_set("h").alias("gone")), "repeat-gone")
+    discard(*used)
+    release(spark)
     return gone
 
 
