@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,9 +60,15 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """One collection here and in the driver's JVM, so that Spark's cleaner removes the shuffle files of plans that are out of reach."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Collects here and in the driver's JVM, so that Spark's cleaner removes the shuffle files of plans that are out of reach.
+
+    Listeners hold the last job's plan for a moment, so one collection isn't enough. For operators
+    that move several times their input, at a second a call.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def located(docs: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
