@@ -117,8 +117,13 @@ def count_hits(text: Column, words: Sequence[str]) -> Column:
 def cleaned(raw: Column, p: Params) -> Column:
     """struct: text, in_script, low_trust, ad_hits."""
     text = F.when(strip(raw) != "", strip(F.regexp_replace(currency(simplified(denoise(raw))), r"[ \t]+\n", "\n"))).otherwise("")
-    hits = word_hits(text, p.ad_words)
-    return F.struct(text.alias("text"), (script_ratio(text, p.script_class) >= p.min_script_ratio).alias("in_script"), (F.size(hits) > 0).alias("low_trust"), hits.alias("ad_hits"))
+
+    def judged(text: Column) -> Column:
+        hits = word_hits(text, p.ad_words)
+        return F.struct(text.alias("text"), (script_ratio(text, p.script_class) >= p.min_script_ratio).alias("in_script"), (F.size(hits) > 0).alias("low_trust"), hits.alias("ad_hits"))
+
+    # a lambda's argument is bound once: the chain of replacements runs once a text, not once a use
+    return F.element_at(F.transform(F.array(text), judged), 1)
 
 
 def token_estimate(text: Column) -> Column:
@@ -143,7 +148,7 @@ def evidence_span(chunk: Column, start: Column, evidence: Column) -> Column:
 def shop_norm(name: Column, p: Params) -> Column:
     """A shop name as a key: brackets and separators go, then one prefix and one suffix, never to nothing."""
     raw = F.coalesce(name, F.lit(""))
-    text = F.regexp_replace(simplified(F.regexp_replace(raw, BRACKETED, "")), r"(?U)[\s·・]+" if p.name_prefixes[:1] != ("old ",) else r"[·・]+", "")
+    text = F.regexp_replace(simplified(F.regexp_replace(raw, BRACKETED, "")), r"(?U)[\s·・]+" if p.name_spaces_go else r"[·・]+", "")
     after = text
     for prefix in reversed(p.name_prefixes):
         after = F.when(F.startswith(text, F.lit(prefix)) & (F.char_length(text) > len(prefix)), F.substring(text, len(prefix) + 1, 1 << 30)).otherwise(after)

@@ -66,6 +66,19 @@ def compare(ranks: DataFrame) -> DataFrame:
     )
 
 
+def summary(ranks: DataFrame, names: list[str], k: int = 30) -> DataFrame:
+    """Each variant against the baseline: shops ranked by either, the top k in common, entered and left, and the mean change of score."""
+    base = ranks.where("variant = 'baseline'").select("city", "shop_id", F.col("rank").alias("r0"), F.col("score").alias("s0"))
+    each = base.withColumn("variant", F.explode(F.array(*map(F.lit, names))))
+    both = ranks.where("variant <> 'baseline'").select("variant", "city", "shop_id", "rank", "score").join(each, ["variant", "city", "shop_id"], "full")
+    met, tenth = F.col("r0").isNotNull() & F.col("rank").isNotNull(), lambda x: F.round(F.col(x) * 10).cast("long")
+    was, now = F.coalesce(F.col("r0") <= k, F.lit(False)), F.coalesce(F.col("rank") <= k, F.lit(False))
+    change = F.sum(F.when(met, tenth("score") - tenth("s0"))).cast("double") / 10 / F.count_if(met)
+    return both.groupBy("variant").agg(
+        F.count("r0").alias("n_base"), F.count("rank").alias("n_var"), F.count_if(was & now).alias("top30_overlap"), F.count_if(now & ~was).alias("entered"), F.count_if(was & ~now).alias("left_top"), F.round(change, 6).alias("score_change")
+    )
+
+
 def movers(ranks: DataFrame, k: int = 5) -> DataFrame:
     """The largest moves of each variant within cities, then overall."""
     base = ranks.where("variant = 'baseline'").select("city", "shop_id", F.col("rank").alias("r0"))

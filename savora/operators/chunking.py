@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,36 +24,36 @@ def tokens(text: str) -> int:
 
 
 def chunks(text: str | None, most: int, overlap: int = 0) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, tokens). A chunk's size is that of the whole span, gaps included."""
+    """(text, start, end, tokens) of each chunk: as many whole sentences as fit, measured on the span from the first's start to the last's end.
+
+    Prefix sums give any span's size at once, and the sentences that the next chunk repeats are
+    found by bisection, so the work grows with the text only.
+    """
     if most <= 0:
         raise ValueError("the largest chunk must have a token or more")
-    out: list[tuple[str, int, int, int]] = []
-    held: list[tuple[int, int]] = []
-
-    def emit(a: int, b: int) -> None:
-        out.append((text[a:b], a, b, tokens(text[a:b])))
-
-    for m in _SENTENCE.finditer(text or ""):
-        if not m[0].strip():
-            continue
-        size = tokens(m[0])
-        if held and (size > most or tokens(text[held[0][0] : m.end()]) > most):
-            emit(held[0][0], held[-1][1])
-            room, kept = min(overlap, most - size), []
-            for a, b in reversed(held if size <= most else []):
-                room -= tokens(text[a:b])
-                if room < 0:
-                    break
-                kept.insert(0, (a, b))
-            held = kept
-        if size > most:
-            for a in range(m.start(), m.end(), most):
-                emit(a, min(a + most, m.end()))
-        else:
-            held.append(m.span())
-    if held:
-        emit(held[0][0], held[-1][1])
-    return out
+    whole = text or ""
+    spans = [m.span() for m in _SENTENCE.finditer(whole) if m[0].strip()]
+    heavy = [0, *accumulate("一" <= c <= "鿿" for c in whole)]
+
+    def size(a: int, b: int) -> int:
+        wide = heavy[b] - heavy[a]
+        return wide - (wide - (b - a)) // 4  # rounded up
+
+    sizes = [size(a, b) for a, b in spans]
+    sums = [0, *accumulate(sizes)]
+    cuts: list[tuple[int, int]] = []
+    first = 0  # the open chunk holds the sentences from first to the one before k
+    for k, (a, b) in enumerate(spans):
+        fits = sizes[k] <= most
+        if first < k and not (fits and size(spans[first][0], b) <= most):
+            cuts.append((spans[first][0], spans[k - 1][1]))
+            first = bisect_left(sums, sums[k] - min(overlap, most - sizes[k]), first, k) if fits else k
+        if not fits:
+            cuts += [(at, min(at + most, b)) for at in range(a, b, most)]
+            first = k + 1
+    if first < len(spans):
+        cuts.append((spans[first][0], spans[-1][1]))
+    return [(whole[a:b], a, b, size(a, b)) for a, b in cuts]
 
 
 def chunked(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int = 0) -> DataFrame:

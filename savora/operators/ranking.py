@@ -111,3 +111,11 @@ def city_list(cities: DataFrame, hints: DataFrame, shops: DataFrame, items: Data
         out = out.join(c, "city", "left")
     out = out.fillna(0, ["restaurant_count", "content_count", "rank_count"])
     return out.withColumn("has_rank", F.col("rank_count") > 0).withColumn("tier", maturity(F.col("rank_count")))
+
+
+def city_order(cities: DataFrame, items: DataFrame, shops: DataFrame) -> DataFrame:
+    """Cities in the order of the start page: with a ranking first, then by ranked shops, shops and name. One row a city."""
+    ranked = items.groupBy("city").agg(F.count(F.lit(1)).alias("rank_count"))
+    counted = cities.join(ranked, "city", "left").join(shops.groupBy("city").agg(F.count(F.lit(1)).alias("shop_count")), "city", "left")
+    filled = counted.select("city", F.coalesce("rank_count", F.lit(0)).alias("rank_count"), F.coalesce("shop_count", F.lit(0)).alias("shop_count")).withColumn("has_rank", F.col("rank_count") > 0)
+    return filled.withColumn("place", F.row_number().over(Window.orderBy(F.col("has_rank").desc(), F.col("rank_count").desc(), F.col("shop_count").desc(), "city")))

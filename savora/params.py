@@ -63,6 +63,8 @@ class Params:
     review_threshold: float = 0.65
     name_weight: float = 0.7
     address_weight: float = 0.3
+    #: Affixes of shop names, and whether white space inside a name goes.
+    name_spaces_go: bool = True
     name_prefixes: tuple[str, ...] = ("老字号", "正宗", "老")
     name_suffixes: tuple[str, ...] = ("旗舰店", "总店", "分店", "新店", "老店")
     branch_words: tuple[str, ...] = ("一号店", "一店", "二店", "三店")
@@ -101,6 +103,7 @@ TABLES = Params(
     plain_room_words=("plain room", "no decor"),
     hygiene_words=("dirty", "hygiene"),
     chain_words=("franchise", "flagship"),
+    name_spaces_go=False,
     name_prefixes=("old ", "hot "),
     name_suffixes=(" gear",),
     branch_words=("widget",),

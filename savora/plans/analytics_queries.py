@@ -141,7 +141,7 @@ QUERIES = {
     "jobs_by_day": lambda s, d: day_text(analytics.jobs_by_day(jobs(s, d), LAST, DAYS)),
     "jobs_summary": lambda s, d: analytics.jobs_summary(jobs(s, d), NOW, 7),
     "tokens_by_day": lambda s, d: day_text(analytics.sums_by_day(jobs(s, d), "tokens", LAST, DAYS)),
-    "city_status_counts": lambda s, d: analytics.shops_by_city(city_shops(s, d), shops(s, d).where("shop_id % 4 = 0")),
+    "city_status_counts": lambda s, d: analytics.shops_by_city(city_shops(s, d), shops(s, d)),
     "crawl_gauges": gauges,
     "rolling_24h": lambda s, d: analytics.rolling(tracks(s, d), LAST, 24, "value"),
     "admin_shop_list": lambda s, d: analytics.shops_with_counts(shops(s, d), mentions(s, d), aliases(s, d), "r_d").select("shop_id", "name", "mention_count", "alias_count"),
@@ -193,7 +193,7 @@ SQL = {
     "jobs_by_day": with_(f"{JOBS_SQL}, {SPINE_SQL}", "SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'failed') AS failed FROM spine LEFT JOIN jobs ON CAST(created_at AS DATE) = day GROUP BY day"),
     "jobs_summary": with_(JOBS_SQL, "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'failed') AS failed FROM jobs WHERE created_at >= TIMESTAMP '2024-01-24' AND status IN ('success', 'failed')"),
     "tokens_by_day": with_(f"{JOBS_SQL}, {SPINE_SQL}", "SELECT strftime(day, '%Y-%m-%d') AS day, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS total, count(event_id) AS n FROM spine LEFT JOIN jobs ON CAST(created_at AS DATE) = day GROUP BY day"),
-    "city_status_counts": with_(SHOPS_SQL, f"SELECT city, count(*) FILTER (WHERE shop_id % 4 = 0 AND {ACTIVE}) AS active, count(*) FILTER (WHERE shop_id % 4 = 0 AND NOT {ACTIVE}) AS inactive FROM shops GROUP BY city"),
+    "city_status_counts": with_(SHOPS_SQL, f"SELECT city, count(*) FILTER (WHERE {ACTIVE}) AS active, count(*) FILTER (WHERE NOT {ACTIVE}) AS inactive FROM shops GROUP BY city"),
     "crawl_gauges": GAUGES_SQL,
     "rolling_24h": with_(TRACKS_SQL, "SELECT count(*) AS n, round(coalesce(sum(value), 0.0), 2) AS total FROM tracks WHERE created_at BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30'"),
     "admin_shop_list": with_(f"{ROLES_SQL}, {ALIASES_SQL}", "SELECT shop_id, name, (SELECT count(*) FROM mentions m WHERE m.shop_id = s.shop_id) AS mention_count, (SELECT count(*) FROM aliases a WHERE a.shop_id = s.shop_id) AS alias_count FROM shops s WHERE name LIKE '%r_d%'"),

@@ -334,7 +334,7 @@ SQL = {
     ),
     "rank_envelope": with_(RANKED, "SELECT i.city, count(*) FILTER (WHERE area = 'A3') AS total, count(*) AS city_rank_count, CASE WHEN count(*) >= 30 THEN 'deep' WHEN count(*) >= 5 THEN 'initial' ELSE 'collecting' END AS tier FROM items i JOIN shops USING (shop_id) GROUP BY i.city"),
     "city_list_full_outer": with_(
-        f"{RANKED}, cities AS (SELECT DISTINCT city FROM shops WHERE shop_id % 7 <> 0 UNION SELECT city FROM mentions), a AS (SELECT city, count(*) AS n FROM shops GROUP BY city), b AS (SELECT city, count(DISTINCT content_id) AS n FROM mentions GROUP BY city), c AS (SELECT city, count(*) AS n FROM items GROUP BY city)",
+        f"{RANKED}, cities AS (SELECT DISTINCT city FROM shops UNION SELECT city FROM mentions), a AS (SELECT city, count(*) AS n FROM shops GROUP BY city), b AS (SELECT city, count(DISTINCT content_id) AS n FROM mentions GROUP BY city), c AS (SELECT city, count(*) AS n FROM items GROUP BY city)",
         "SELECT city, coalesce(a.n, 0) AS restaurant_count, coalesce(b.n, 0) AS content_count, coalesce(c.n, 0) AS rank_count, coalesce(c.n, 0) > 0 AS has_rank, CASE WHEN coalesce(c.n, 0) >= 30 THEN 'deep' WHEN coalesce(c.n, 0) >= 5 THEN 'initial' ELSE 'collecting' END AS tier FROM cities LEFT JOIN a USING (city) LEFT JOIN b USING (city) LEFT JOIN c USING (city)",
     ),
     "city_maturity": "SELECT p_brand AS city, count(*) AS n, CASE WHEN count(*) >= 30 THEN 'deep' WHEN count(*) >= 5 THEN 'initial' ELSE 'collecting' END AS tier FROM part GROUP BY p_brand",

@@ -25,7 +25,7 @@ HITS = "list_filter([" + ", ".join(f"'{w}'" for w in P.ad_words) + "], lambda w:
 def found_names(s, d, step):
     """A stand-in for extraction: the long words of each document, all or those from every other word."""
     words = F.filter(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^A-Za-z]+")), lambda w: F.char_length(w) >= 14)
-    return docs(s, d).where("lang = 'en'").select("doc_id", F.filter(words, lambda w, i: i % step == 0).alias("names"))
+    return docs(s, d).select("doc_id", F.filter(words, lambda w, i: i % step == 0).alias("names"))
 
 
 QUERIES = {
@@ -38,8 +38,8 @@ QUERIES = {
     "keyword_counts": lambda s, d: docs(s, d).select("doc_id", tx.count_hits(F.coalesce("text", F.lit("")), ("the", "de", "und")).alias("n")),
     "clipped": lambda s, d: docs(s, d).select("doc_id", tx.clip(F.col("text"), 40).alias("clip")),
     "chunks": lambda s, d: chunking.chunked(docs(s, d), "doc_id", "text", 256, 32).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("largest")),
-    "html_text": lambda s, d: pages(s, d).select("page_id", html.html_text("html").alias("text")),
-    "html_links": lambda s, d: pages(s, d).select("page_id", F.explode(html.html_links("html", "url")).alias("link")),
+    "html_text": lambda s, d: pages(s, d).select("page_id", html.html_text(F.col("html")).alias("text")),
+    "html_links": lambda s, d: pages(s, d).select("page_id", F.explode(html.html_links(F.col("html"), F.col("url"))).alias("link")),
     "page_title": lambda s, d: pages(s, d).select("page_id", html.page_title(F.col("html")).alias("title")),
     "extract_precision_recall": lambda s, d: quality.precision_recall(found_names(s, d, 1), found_names(s, d, 2)),
 }
@@ -51,10 +51,12 @@ SQL = {
     "content_dedup_hash": "SELECT 'sha256:' || sha256(coalesce(text, '')) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1",
     "keyword_counts": "SELECT doc_id, " + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in ("the", "de", "und")) + " AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "clipped": r"SELECT doc_id, nullif(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 40), '') AS clip FROM documents",
+    "html_text": html.TEXT_SQL,
+    "html_links": html.LINKS_SQL,
     "page_title": r"SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g'), '') AS title FROM pages",
     "extract_precision_recall": """WITH e AS (
         SELECT doc_id, list_filter(list_distinct_in_order, lambda w: length(w) >= 14) AS names FROM (
-          SELECT doc_id, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_in_order FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[^A-Za-z]+') AS ws FROM documents WHERE lang = 'en'))
+          SELECT doc_id, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_in_order FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[^A-Za-z]+') AS ws FROM documents))
       ), g AS (SELECT doc_id, names, list_filter(names, lambda w, i: (i - 1) % 2 = 0) AS got FROM e
       ), c AS (SELECT len(names) AS e, len(got) AS g, len(list_filter(names, lambda a: len(list_filter(got, lambda b: contains(a, b) OR contains(b, a))) > 0)) AS f, len(list_filter(got, lambda a: len(list_filter(names, lambda b: contains(a, b) OR contains(b, a))) > 0)) AS k FROM g)
       SELECT CAST(sum(e) AS BIGINT) AS expected, CAST(sum(g) AS BIGINT) AS got, round(CAST(sum(k) AS DOUBLE) / sum(g), 4) AS "precision", round(CAST(sum(f) AS DOUBLE) / sum(e), 4) AS recall FROM c""",

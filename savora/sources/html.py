@@ -1,58 +1,51 @@
-"""Pages as sources: text, links and titles (Python's HTML parser: scripts may hold any tag, so patterns won't do)."""
+"""Pages as sources: text, links and titles, as column functions.
 
-from __future__ import annotations
+Scripts, styles and comments go first, whatever tags they hold; a tag then ends a piece of text.
+Of character references those in ``REFERENCES`` are decoded.
+"""
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlparse
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-class _Page(HTMLParser):
-    def __init__(self, base: str = ""):
-        super().__init__(convert_charrefs=True)
-        self.base, self.pieces, self.links, self.quiet = base, [], [], 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.quiet += 1
-        elif tag == "a" and (href := dict(attrs).get("href")):
-            url = urljoin(self.base, href.strip())
-            if urlparse(url).scheme in ("http", "https") and url not in self.links:
-                self.links.append(url)
+UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+TAG = r"(?s)<[/!?a-zA-Z][^>]*>"
+HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Character references, the ampersand's last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+BREAK = "\x01"
 
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.quiet:
-            self.quiet -= 1
 
-    def handle_data(self, data):
-        if not self.quiet and data.strip():
-            self.pieces.append(data.strip())
+def decoded(text: Column) -> Column:
+    for name, character in REFERENCES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
 
 
-def _parsed(html: str | None, base: str = "") -> _Page:
-    page = _Page(base or "")
-    page.feed(html or "")
-    page.close()
-    return page
+def html_text(html: Column) -> Column:
+    """The pieces of text outside scripts and styles, stripped, joined by one space."""
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, BREAK), TAG, BREAK)
+    pieces = F.transform(F.split(marked, BREAK), lambda x: F.regexp_replace(decoded(x), r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(pieces, lambda x: x != ""), " ")
 
 
-@F.pandas_udf(T.StringType())
-def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The text outside scripts and styles, pieces joined by one space."""
-    for batch in batches:
-        yield batch.map(lambda h: " ".join(_parsed(h).pieces), na_action=None)
+def html_links(html: Column, base: Column) -> Column:
+    """Absolute http(s) links, each once, in page order; relative ones by the page's address."""
+    seen = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "")
+    page = F.regexp_replace(F.coalesce(base, F.lit("")), "#.*$", "")
+    site, bare = F.regexp_extract(page, "^(https?://[^/?]+)", 1), F.regexp_replace(page, r"\?.*$", "")
+    folder = F.when(bare.rlike("^https?://[^/]+$"), F.concat(bare, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
 
+    def whole(link: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(link, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+        return (
+            F.when(scheme != "", link).when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(page, "^(https?:)", 1), link)).when(F.startswith(link, F.lit("/")), F.concat(site, link))
+            .when(F.startswith(link, F.lit("#")), F.concat(page, link)).when(F.startswith(link, F.lit("?")), F.concat(bare, link)).otherwise(F.concat(folder, link))
+        )
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def html_links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Absolute http(s) links, each once, in page order."""
-    for html, base in batches:
-        yield pd.Series([_parsed(h, b).links for h, b in zip(html, base, strict=True)])
+    found = F.transform(F.regexp_extract_all(seen, F.lit(HREF), F.lit(1)), lambda x: whole(decoded(x)))
+    return F.array_distinct(F.filter(found, lambda x: x.rlike("(?i)^https?://[^/?#]")))
 
 
 def page_title(html: Column) -> Column:
@@ -64,3 +57,20 @@ def detail_links(links: Column, page: Column, most: int = 20) -> Column:
     """Links of the page's own host, without the page itself."""
     host = lambda u: F.regexp_extract(u, r"^[a-z]+://([^/?#]+)", 1)
     return F.slice(F.filter(links, lambda u: (host(u) == host(page)) & (u != page)), 1, most)
+
+
+def _sql_decoded(x: str) -> str:
+    for name, character in REFERENCES:
+        x = f"replace({x}, '{name}', {"chr(" + str(ord(character)) + ")"})"
+    return x
+
+
+TEXT_SQL = f"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '{UNSEEN}', chr(1), 'g'), '{TAG}', chr(1), 'g') AS t FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace({_sql_decoded("x")}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')), lambda x: x <> ''), ' ') AS text FROM m"""
+LINKS_SQL = f"""WITH m AS (
+  SELECT page_id, regexp_replace(coalesce(url, ''), '#.*$', '') AS page, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '{UNSEEN}', '', 'g'), '{HREF.replace("'", "''")}', 1)) AS h FROM pages
+), n AS (SELECT page_id, page, regexp_extract(page, '^(https?://[^/?]+)', 1) AS site, regexp_replace(page, '\\?.*$', '') AS bare, {_sql_decoded("h")} AS l FROM m
+), w AS (
+  SELECT page_id, CASE WHEN regexp_matches(l, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN l WHEN starts_with(l, '//') THEN regexp_extract(page, '^(https?:)', 1) || l WHEN starts_with(l, '/') THEN site || l
+    WHEN starts_with(l, '#') THEN page || l WHEN starts_with(l, '?') THEN bare || l WHEN regexp_matches(bare, '^https?://[^/]+$') THEN bare || '/' || l ELSE regexp_replace(bare, '[^/]*$', '') || l END AS link FROM n
+) SELECT DISTINCT page_id, link FROM w WHERE regexp_matches(link, '(?i)^https?://[^/?#]')"""
