@@ -44,10 +44,16 @@ def candidate_pairs(shops: DataFrame, block: list[str]) -> DataFrame:
 
 
 def duplicate_pairs_by_address(shops: DataFrame, at_least: float) -> DataFrame:
-    """Pairs of one city and area whose address tokens overlap."""
-    tokens = shops.withColumn("address", F.col("address"))
-    sim = jaccard(address_tokens(F.col("a_address")), address_tokens(F.col("b_address")))
-    return candidate_pairs(tokens, ["city", "area"]).withColumn("similarity", F.round(sim, 6)).where(F.col("similarity") >= at_least).select("city", "a", "b", "similarity")
+    """Pairs of one city and area whose address tokens overlap. Distinct addresses are compared, once each, and shops joined to them."""
+    block = ["city", "area"]
+    active = shops.where("status = 'active'").select(*block, "shop_id", "address")
+    known = active.where("address is not null").select(*block, "address").distinct().withColumn("t", address_tokens(F.col("address")))
+    side = lambda x: known.select(*block, F.col("address").alias(f"{x}_address"), F.col("t").alias(f"{x}_t"))
+    alike = side("a").join(side("b"), block).withColumn("similarity", F.round(jaccard(F.col("a_t"), F.col("b_t")), 6))
+    alike = alike.where(F.col("similarity") >= at_least).select(*block, "a_address", "b_address", "similarity")
+    left = active.select(*block, F.col("shop_id").alias("a"), F.col("address").alias("a_address"))
+    right = active.select(*block, F.col("shop_id").alias("b"), F.col("address").alias("b_address"))
+    return left.join(alike, [*block, "a_address"]).join(right, [*block, "b_address"]).where("a < b").select("city", "a", "b", "similarity")
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:
