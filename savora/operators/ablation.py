@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from savora.operators.scoring import adjusted, scored, smoothed
@@ -32,17 +31,25 @@ def variants(p: Params) -> list[Variant]:
 
 
 def variant_ranks(signals: DataFrame, p: Params) -> DataFrame:
-    """variant, city, shop_id, name, rank, score for every ranked shop under every variant; the signals are read once."""
-    shared = signals.persist()
-    parts = []
-    for v in variants(p):
-        base = shared.withColumn("burst", F.lit(False)) if v.no_burst else shared
-        marks = scored(base, v.params, v.penalties, v.rules)
-        marks = marks if v.tenure else marks.withColumn("tenure_bonus", F.lit(0.0))
-        final = adjusted(smoothed(marks, v.params), v.params).where(~F.col("excluded") & F.col("shop_id").isNotNull())
-        parts.append(final.select(F.lit(v.name).alias("variant"), "city", "shop_id", "name", F.col("final").alias("score")))
+    """variant, city, shop_id, name, rank, score for every ranked shop under every variant.
+
+    One plan for all: each shop's signals stand once for each variant, with the variant's weights and
+    switches beside them as columns, and windows go by (variant, city).
+    """
+    flags = {"variant": "name", "_penalties": "penalties", "_rules": "rules", "_calm": "no_burst", "_tenure": "tenure"}
+
+    def row(v: Variant) -> Column:
+        known = [F.lit(getattr(v, field)).alias(name) for name, field in flags.items()]
+        numbers = [F.lit(float(x)).alias(name) for name, x in {"_prior_weight": v.params.bayes_prior, "_suspect": v.params.suspect_multiplier, **{f"_w_{k}": w for k, w in v.params.weights.items()}}.items()]
+        return F.struct(*known, *numbers, F.lit(v.params.half_life_days > 0).alias("_decays"))
+
+    each = signals.withColumn("_v", F.explode(F.array(*map(row, variants(p))))).select("*", "_v.*").drop("_v")
+    each = each.withColumn("burst", F.col("burst") & ~F.col("_calm"))
+    own = replace(p, weights={k: F.col(f"_w_{k}") for k in p.weights}, bayes_prior=F.col("_prior_weight"), suspect_multiplier=F.col("_suspect"))
+    marks = scored(each, own, F.col("_penalties"), F.col("_rules"), F.col("_decays")).withColumn("tenure_bonus", F.when(F.col("_tenure"), F.col("tenure_bonus")).otherwise(0.0))
+    final = adjusted(smoothed(marks, own, ["variant", "city"]), own).where(~F.col("excluded") & F.col("shop_id").isNotNull())
     place = Window.partitionBy("variant", "city").orderBy(F.col("score").desc(), "name", "shop_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(place))
+    return final.select("variant", "city", "shop_id", "name", F.col("final").alias("score")).withColumn("rank", F.row_number().over(place))
 
 
 def average_rank(value: str, by: list[str]):

@@ -152,16 +152,20 @@ def tenure_bonus(p: Params) -> Column:
     return F.when(days >= 3650, p.tenure_decade).when(days >= 1825, p.tenure_half_decade).otherwise(0.0)
 
 
-def scored(shops: DataFrame, p: Params, use_penalties: bool = True, use_rules: bool = True) -> DataFrame:
+def flag(x: bool | Column) -> Column:
+    return F.lit(x) if isinstance(x, bool) else x
+
+
+def scored(shops: DataFrame, p: Params, use_penalties: bool | Column = True, use_rules: bool | Column = True, use_decay: bool | Column = True) -> DataFrame:
     """signals to base_score, time_decay, confidence, exclude_reason, multiplier, score, tenure_bonus."""
     marked = penalties(features(shops, p), p)
     gain = sum((F.col(f"c_{k}") for k in list(p.weights)[1:]), F.col(f"c_{list(p.weights)[0]}"))
     names = list(penalty_values(p))
     loss = sum((F.col(f"p_{k}") for k in names[1:]), F.col(f"p_{names[0]}"))
-    based = marked.withColumn("base_score", rnd(gain - loss if use_penalties else gain, 4))
-    reason = exclude_reason(p) if use_rules else F.lit(None).cast("string")
+    based = marked.withColumn("base_score", rnd(F.when(flag(use_penalties), gain - loss).otherwise(gain), 4))
+    reason = F.when(flag(use_rules), exclude_reason(p))
     ruled = based.withColumn("exclude_reason", reason).withColumn("excluded", F.col("exclude_reason").isNotNull())
-    ruled = ruled.withColumn("multiplier", F.when(F.col("burst") & ~F.col("excluded"), 0.5).otherwise(1.0)).withColumn("time_decay", time_decay(p))
+    ruled = ruled.withColumn("multiplier", F.when(F.col("burst") & ~F.col("excluded"), 0.5).otherwise(1.0)).withColumn("time_decay", F.when(flag(use_decay), time_decay(p)).otherwise(1.0))
     ruled = ruled.withColumn("confidence", rnd(saturate(F.col("mention_count"), p.confidence_target), 4))
     quality = rnd(clamp01(5 * F.greatest(F.lit(0.0), F.col("base_score")) * F.col("time_decay") * F.col("multiplier") / 5) * 5, 1)
     ruled = ruled.withColumn("score", F.when(F.col("excluded"), 0.0).otherwise(quality))
@@ -177,7 +181,7 @@ def smoothed(shops: DataFrame, p: Params, by: list[str] | None = None) -> DataFr
     n, c = F.col("mention_count"), p.bayes_prior
     smooth = rnd(F.greatest(F.lit(0.0), F.least(F.lit(5.0), (c * F.col("_prior") + n * F.col("score")) / (c + n))), 1)
     out = shops.withColumn("_k", k).withColumn("_prior", tenths / 10.0 / k)
-    return out.withColumn("smoothed", F.when(valid & (F.col("_k") >= 2) & F.lit(c > 0), smooth).otherwise(F.col("score"))).drop("_k", "_prior")
+    return out.withColumn("smoothed", F.when(valid & (F.col("_k") >= 2) & (F.lit(c) > 0), smooth).otherwise(F.col("score"))).drop("_k", "_prior")
 
 
 def adjusted(shops: DataFrame, p: Params) -> DataFrame:
