@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
 DataFrame; the result is written as Parquet and read again as the next stage's docs. All stages but
 the last return the columns of documents.
+
+Defined results, for every stage: null texts count as empty and stay with their rows until a stage's
+own rule drops them; very long texts are worked on whole; rows that share an id are rows of their
+own, except that near-dedup takes them for one node; a null id never is a near copy, and loses to
+any other among exact copies; columns of any further name pass through unchanged (the last stage
+returns its own four); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +23,9 @@ from savora.llm.common import materialize, read_table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.with_score(docs, model, score_col="_quality_score")
-    return scored.where(F.col("_quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = max([*docs.columns, "_"], key=len) + "_score"  # longer than any name there
+    scored = quality.with_score(docs, model, score_col=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
