@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 
 from savora.llm.common import read_table
 
-REMEMBER, SHORT = 600_000, 32
+REMEMBER, SHORT = 2_500_000, 32
 LEAVES = 250_000
-CHARS_AT_ONCE = 500_000
+CHARS_AT_ONCE = 1_000_000
 
 #: Fixed value: the pre-tokenizer's pattern, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
