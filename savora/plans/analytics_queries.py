@@ -131,6 +131,11 @@ def city_shops(s: SparkSession, d: str) -> DataFrame:
     return shops(s, d).select("city").distinct()
 
 
+def fuzzy_align(s: SparkSession, d: str) -> DataFrame:
+    names = unresolved(s, d).select("mid", "city", "name_norm", "address_text").distinct()
+    return resolve.decisions(resolve.fuzzy_matches(names, shops(s, d), P), P, names)
+
+
 QUERIES = {
     "track_daily_uv": lambda s, d: day_text(analytics.daily_visitors(tracks(s, d), P, LAST, DAYS)),
     "track_totals": lambda s, d: analytics.visitor_totals(tracks(s, d), P, LAST, DAYS),
@@ -165,8 +170,8 @@ QUERIES = {
     "field_completeness": lambda s, d: quality.completeness(mentions(s, d)),
     "influencer_intrusion": lambda s, d: quality.influencer_intrusion(items_of(s, d), mentions(s, d), ("viral",)),
     "brand_notice": lambda s, d: quality.brand_notice(mentions(s, d), shops(s, d), P),
-    "fuzzy_align": lambda s, d: resolve.decisions(resolve.fuzzy_matches(unresolved(s, d).select("mid", "city", "name_norm", "address_text").distinct(), shops(s, d), P), P),
-    "align_in_order": lambda s, d: resolve.align_in_order(unresolved(s, d).dropDuplicates(["mid", "city", "name_norm", "address_text"]), shops(s, d), P),
+    "fuzzy_align": fuzzy_align,
+    "align_in_order": lambda s, d: resolve.align_in_order(unresolved(s, d).dropDuplicates(["mid", "city", "name_norm", "address_text"]), shops(s, d), P, aliases(s, d)),
     "exact_align": lambda s, d: resolve.exact_matches(mentions(s, d).where("shop_id is null"), shops(s, d), aliases(s, d)).select("mid", "city", "name_norm", "matched_id"),
     "mention_dedup": lambda s, d: resolve.deduplicated(mentions(s, d)).select("content_id", "shop_name", "evidence", "mid"),
     "recommend_taste": taste,
