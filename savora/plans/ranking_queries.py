@@ -27,8 +27,8 @@ def sat(x: str, target: float) -> str:
 
 
 def rnd(x: str, n: int) -> str:
-    """Half-up rounding of the shortest decimal that stands for the double, as Spark rounds."""
-    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 20)), {n}) AS DOUBLE)"
+    """Half-even rounding of the double's exact value: printf writes its exact digits."""
+    return f"(CAST(printf('%.{n}f', CAST({x} AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE)"
 
 
 def age(at: str) -> str:
@@ -92,32 +92,32 @@ PENALTIES_SQL = ", ".join(f"{rnd(v, 4)} AS p_{k}" for k, v in PENALTIES.items())
 BRANDS = " ".join(f"WHEN contains(name, '{b}') THEN 'brand:{b}'" for b in P.chain_brands)
 REASON = f"CASE WHEN CAST(ad_count AS DOUBLE) / mention_count >= {P.ad_exclude_ratio} THEN 'ads' {BRANDS} WHEN {anywhere(P.mall_words, 'address')} THEN 'mall' END"
 GAIN, LOSS = " + ".join(f"c_{k}" for k in FEATURES), " + ".join(f"p_{k}" for k in PENALTIES)
-DECAY = f"CASE WHEN latest_at IS NULL THEN 1.0 ELSE round(pow(0.5::DOUBLE, CAST(greatest(0, {age('latest_at')}) AS DOUBLE) / {P.half_life_days}), 4) END"
+DECAY = f"CASE WHEN latest_at IS NULL THEN 1.0 ELSE (CAST(printf('%.4f', CAST(pow(0.5::DOUBLE, CAST(greatest(0, {age('latest_at')}) AS DOUBLE) / {P.half_life_days}) AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) END"
 BONUS = f"CASE WHEN {age('first_confident_at')} >= 3650 THEN {P.tenure_decade}::DOUBLE WHEN {age('first_confident_at')} >= 1825 THEN {P.tenure_half_decade}::DOUBLE ELSE 0.0 END"
 SCORED = f"""{SIGNALS}, marked AS (SELECT *, {features_sql()}, {PENALTIES_SQL} FROM signals
 ), ruled AS (
-  SELECT *, round(({GAIN}) - ({LOSS}), 4) AS base_score, {REASON} AS exclude_reason, CAST({DECAY} AS DOUBLE) AS time_decay, round({sat("mention_count", P.confidence_target)}, 4) AS confidence FROM marked
+  SELECT *, (CAST(printf('%.4f', CAST(({GAIN}) - ({LOSS}) AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) AS base_score, {REASON} AS exclude_reason, CAST({DECAY} AS DOUBLE) AS time_decay, (CAST(printf('%.4f', CAST({sat("mention_count", P.confidence_target)} AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) AS confidence FROM marked
 ), scored AS (
   SELECT *, exclude_reason IS NOT NULL AS excluded, CASE WHEN burst AND exclude_reason IS NULL THEN 0.5 ELSE 1.0 END AS multiplier,
-    CASE WHEN exclude_reason IS NOT NULL THEN 0.0 ELSE round(greatest(0.0, least(1.0, 5 * greatest(0.0, base_score) * time_decay * (CASE WHEN burst THEN 0.5 ELSE 1.0 END) / 5)) * 5, 1) END AS score,
+    CASE WHEN exclude_reason IS NOT NULL THEN 0.0 ELSE (CAST(printf('%.1f', CAST(greatest(0.0, least(1.0, 5 * greatest(0.0, base_score) * time_decay * (CASE WHEN burst THEN 0.5 ELSE 1.0 END) / 5)) * 5 AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) END AS score,
     CASE WHEN exclude_reason IS NOT NULL THEN 0.0 ELSE {BONUS} END AS tenure_bonus
   FROM ruled
 )"""
 SMOOTHED = f"""{SCORED}, priors AS (
   SELECT city, sum(CAST(round(score * 10) AS BIGINT)) / 10.0::DOUBLE / count(*) AS prior, count(*) AS k FROM scored WHERE NOT excluded GROUP BY city
 ), smoothed AS (
-  SELECT s.*, CASE WHEN NOT excluded AND k >= 2 THEN round(greatest(0.0, least(5.0, ({P.bayes_prior}::DOUBLE * prior + mention_count * score) / ({P.bayes_prior}::DOUBLE + mention_count))), 1) ELSE score END AS smoothed
+  SELECT s.*, CASE WHEN NOT excluded AND k >= 2 THEN (CAST(printf('%.1f', CAST(greatest(0.0, least(5.0, ({P.bayes_prior}::DOUBLE * prior + mention_count * score) / ({P.bayes_prior}::DOUBLE + mention_count))) AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) ELSE score END AS smoothed
   FROM scored s LEFT JOIN priors USING (city)
 )"""
 ADJUSTED = f"""{SMOOTHED}, raised AS (
-  SELECT *, CASE WHEN NOT excluded AND tenure_bonus > 0 THEN round(greatest(0.0, least(5.0, smoothed + tenure_bonus)), 1) ELSE smoothed END AS up FROM smoothed
+  SELECT *, CASE WHEN NOT excluded AND tenure_bonus > 0 THEN (CAST(printf('%.1f', CAST(greatest(0.0, least(5.0, smoothed + tenure_bonus)) AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) ELSE smoothed END AS up FROM smoothed
 ), adjusted AS (
-  SELECT *, CASE WHEN NOT excluded AND liveness = 'suspect' THEN round(greatest(0.0, least(5.0, up * {P.suspect_multiplier})), 1) ELSE up END AS final FROM raised
+  SELECT *, CASE WHEN NOT excluded AND liveness = 'suspect' THEN (CAST(printf('%.1f', CAST(greatest(0.0, least(5.0, up * {P.suspect_multiplier})) AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) ELSE up END AS final FROM raised
 )"""
 RANKED = f"""{ADJUSTED}, placed AS (
   SELECT *, row_number() OVER (PARTITION BY city ORDER BY final DESC, name, shop_id) AS rank FROM adjusted WHERE shop_id IS NOT NULL AND NOT excluded
 ), items AS (
-  SELECT *, round(1 + 3.9 * CASE WHEN n > 1 THEN CAST(n - rank AS DOUBLE) / (n - 1) ELSE 1.0 END, 1) AS display_score FROM (SELECT *, count(*) OVER (PARTITION BY city) AS n FROM placed WHERE rank <= {P.top_n})
+  SELECT *, (CAST(printf('%.1f', CAST(1 + 3.9 * CASE WHEN n > 1 THEN CAST(n - rank AS DOUBLE) / (n - 1) ELSE 1.0 END AS DOUBLE)) AS DOUBLE) + 0.0::DOUBLE) AS display_score FROM (SELECT *, count(*) OVER (PARTITION BY city) AS n FROM placed WHERE rank <= {P.top_n})
 )"""
 
 
