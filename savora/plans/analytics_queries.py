@@ -131,6 +131,17 @@ def city_shops(s: SparkSession, d: str) -> DataFrame:
     return shops(s, d).select("city").distinct()
 
 
+LIMIT_MINUTES, LIMIT_MOST = 60 * 24, 2
+RATE_LIMIT_SQL = f"""WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), fold AS (
+  SELECT user_id, event_id, k, TRUE AS accepted, [t] AS kept FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, event_id, k, len(recent) < {LIMIT_MOST} AS accepted, CASE WHEN len(recent) < {LIMIT_MOST} THEN list_append(recent, t) ELSE recent END AS kept FROM (
+    SELECT e.*, list_filter(fold.kept, lambda x: x >= e.t - {LIMIT_MINUTES * 60_000_000}) AS recent FROM fold JOIN e ON e.user_id IS NOT DISTINCT FROM fold.user_id AND e.k = fold.k + 1)
+) SELECT user_id, event_id, accepted FROM fold"""
+
+
 def fuzzy_align(s: SparkSession, d: str) -> DataFrame:
     names = unresolved(s, d).select("mid", "city", "name_norm", "address_text").distinct()
     return resolve.decisions(resolve.fuzzy_matches(names, shops(s, d), P), P, names)
@@ -152,7 +163,7 @@ QUERIES = {
     "admin_shop_list": lambda s, d: analytics.shops_with_counts(shops(s, d), mentions(s, d), aliases(s, d), "r_d").select("shop_id", "name", "mention_count", "alias_count"),
     "latest_jobs": lambda s, d: analytics.latest_jobs(jobs(s, d), 20).select("event_id", "status"),
     "preference_weights": lambda s, d: analytics.preference_weights(favourites(s, d), views(s, d), shops(s, d), "city").select("user_id", "city", "weight", "pos"),
-    "rate_limit_fold": lambda s, d: analytics.rate_limited(tracks(s, d), "user_id", 60 * 24, 2),
+    "rate_limit_fold": lambda s, d: analytics.rate_limited(tracks(s, d), "user_id", LIMIT_MINUTES, LIMIT_MOST),
     "first_last_mention": lambda s, d: liveness.first_last_mention(mentions(s, d)).select("shop_id", F.date_format("first_mentioned_at", "yyyy-MM-dd").alias("first_mentioned_at"), "confident", F.date_format("last_mentioned_at", "yyyy-MM-dd").alias("last_mentioned_at")),
     "liveness_evaluate": lambda s, d: liveness.evaluate(watched(s, d), P).select("shop_id", "liveness", "miss_count"),
     "liveness_mark_misses": lambda s, d: liveness.mark_misses(watched(s, d), city_shops(s, d).select("city", F.lit("2024-01-15").cast("timestamp").alias("before"), F.char_length("city").alias("records"))).select("shop_id", "miss_count"),
@@ -227,6 +238,7 @@ SQL = {
     "influencer_intrusion": with_(f"{RANKED}, h AS (SELECT DISTINCT shop_id FROM mentions WHERE contains(array_to_string(list_concat(praise, complaints, [coalesce(evidence, '')]), ' '), 'viral'))", "SELECT city, count(*) AS n, count(*) FILTER (WHERE contains(name, 'viral') OR shop_id IN (SELECT shop_id FROM h WHERE shop_id IS NOT NULL)) AS hits, round(count(*) FILTER (WHERE contains(name, 'viral') OR shop_id IN (SELECT shop_id FROM h WHERE shop_id IS NOT NULL)) / CAST(count(*) AS DOUBLE), 4) AS rate FROM items WHERE rank <= 20 GROUP BY city"),
     "brand_notice": with_(f"{ROLES_SQL}, {STEMS}, sib AS (SELECT shop_id, count(*) OVER (PARTITION BY city, stem) - 1 AS siblings FROM stems), g AS (SELECT m.shop_id, count(*) AS total, count(*) FILTER (WHERE coalesce(address_text, '') = '') AS unlocated, count(*) FILTER (WHERE m.name_norm <> s.name_norm AND contains(m.name_norm, 'widget')) AS branch_mentions FROM mentions m JOIN shops s USING (shop_id) GROUP BY m.shop_id)",
         "SELECT shop_id, total, unlocated, branch_mentions, coalesce(siblings, 0) AS siblings FROM g LEFT JOIN sib USING (shop_id) WHERE unlocated > 0 AND (coalesce(siblings, 0) > 0 OR branch_mentions > 0)"),
+    "rate_limit_fold": RATE_LIMIT_SQL,
     "exact_align": with_(f"{ROLES_SQL}, {ALIASES_SQL}, al AS (SELECT city, alias_norm, max(shop_id) AS i FROM aliases JOIN (SELECT shop_id, city FROM shops WHERE {ACTIVE}) USING (shop_id) GROUP BY city, alias_norm), nm AS (SELECT city, name_norm, max(shop_id) AS i FROM shops WHERE {ACTIVE} GROUP BY city, name_norm)",
         "SELECT mid, m.city, m.name_norm, coalesce(al.i, nm.i) AS matched_id FROM mentions m LEFT JOIN al ON al.city = m.city AND al.alias_norm = m.name_norm LEFT JOIN nm ON nm.city = m.city AND nm.name_norm = m.name_norm WHERE m.shop_id IS NULL"),
     "mention_dedup": with_(ROLES_SQL, "SELECT content_id, shop_name, evidence, min(mid) AS mid FROM mentions GROUP BY content_id, shop_name, evidence"),
