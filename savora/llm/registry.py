@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from savora.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash, mixing, quality, sharding, substring_dedup, topk_search, url_filter
+from savora.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash, mixing, quality, sharding, substring_dedup, topk_search, url_filter, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op12_whitening": whitening.op12_whitening,
     "op13_topk_search": topk_search.op13_topk_search,
 }
 SQL = {
