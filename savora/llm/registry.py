@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from savora.llm import bpe, embedding_dedup, exact_dedup, html_extract, minhash, mixing, quality, sharding, substring_dedup, topk_search, url_filter, whitening
+from savora.llm import bpe, conversation_repair, embedding_dedup, exact_dedup, html_extract, minhash, mixing, quality, sharding, substring_dedup, topk_search, url_filter, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_whitening": whitening.op12_whitening,
     "op13_topk_search": topk_search.op13_topk_search,
 }
@@ -25,5 +26,6 @@ SQL = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
     "op13_topk_search": topk_search.OP13_SQL,
 }
