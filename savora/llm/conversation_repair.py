@@ -166,14 +166,14 @@ CHUNK_FIELDS = "part int, seq int, id {id}, opens boolean, closes boolean, kinds
 
 
 class _Chunk:
-    def __init__(self, key: tuple, opens: bool | None):
-        self.key, self.opens, self.closes = key, opens, None
+    def __init__(self, key: tuple, opens: bool | None, most: int):
+        self.key, self.opens, self.closes, self.most = key, opens, None, most
         self.kinds, self.runs, self.roles, self.texts, self.chars = [], [0], [], [], 0
         self.rows = self.blank = self.duplicate = self.truncated = self.illegal = self.turns = 0
         self.head = self.tail = self.low = self.high = self.head_turn = self.tail_turn = None
 
     def full(self, text: str) -> bool:
-        return bool(self.kinds) and (len(self.kinds) >= CHUNK or self.chars + len(text) > CHUNK_CHARS)
+        return bool(self.kinds) and (len(self.kinds) >= self.most or self.chars + len(text) > CHUNK_CHARS)
 
     def add(self, turn: int | None, role: str, text: str, n: int, blank: bool, truncated: bool, again: bool) -> None:
         if not n:
@@ -221,7 +221,7 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, weight: Callable[[tuple],
     yield _table(held, schema)
 
 
-def _chunks(schema: pa.Schema):
+def _chunks(schema: pa.Schema, most: int):
     """Sorted rows to chunks. opens, closes: null where the partition's edge hides whether the conversation goes on."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -231,8 +231,8 @@ def _chunks(schema: pa.Schema):
                 if chunk is not None and (key != chunk.key[0] or chunk.full(row[2])):
                     chunk.closes = key != chunk.key[0]
                     yield chunk.row(part, seq)
-                    chunk, seq = _Chunk((key,), chunk.closes), seq + 1
-                part, chunk = p, chunk or _Chunk((key,), None)
+                    chunk, seq = _Chunk((key,), chunk.closes, most), seq + 1
+                part, chunk = p, chunk or _Chunk((key,), None, most)
                 chunk.add(*row)
         if chunk is not None:
             yield chunk.row(part, seq)
@@ -357,7 +357,7 @@ def _pieces(schema: pa.Schema):
     return run
 
 
-def repair(turns: DataFrame, id_col: str = "id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", copies: Column | None = None, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
+def repair(turns: DataFrame, id_col: str = "id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", copies: Column | None = None, chunk: int = CHUNK, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
     """Pieces of conversations that are one piece, and those of longer ones; copies: how often a row is there (0: only its id is known)."""
     id_type = turns.schema[id_col].dataType.simpleString()
     nothing = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(" "))
@@ -365,7 +365,7 @@ def repair(turns: DataFrame, id_col: str = "id", turn_col: str = "turn", role_co
     order = ["id", "turn", "role"]
     ranged = faults(rows).repartitionByRange(*order, F.substring("text", 1, 200)).sortWithinPartitions(*order, "text")
     fields = CHUNK_FIELDS.format(id=id_type)
-    chunks = materialize(ranged.select(F.spark_partition_id().alias("part"), *order, "text", "n", "blank", "truncated", "again").mapInArrow(_chunks(to_arrow_schema(T.StructType.fromDDL(fields))), fields), "repair-chunks")
+    chunks = materialize(ranged.select(F.spark_partition_id().alias("part"), *order, "text", "n", "blank", "truncated", "again").mapInArrow(_chunks(to_arrow_schema(T.StructType.fromDDL(fields)), chunk), fields), "repair-chunks")
     single = F.coalesce(F.col("opens") & F.col("closes"), F.lit(False))
     numbered = _numbered(chunks)
     body = ("g", "id", "kinds", "runs", "roles", "texts", *_COUNTS)
