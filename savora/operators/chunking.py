@@ -1,16 +1,15 @@
-"""Chunks with offsets and overlap (Python: a greedy fold over sentences), and what is extracted from them."""
+"""Chunks with offsets and overlap (Python: a greedy fold over sentences)."""
 
 from __future__ import annotations
 
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from savora.functions.text import SENTENCE
 
@@ -66,39 +65,3 @@ def chunked(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int =
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "text", "start", "end", "tokens"])
 
     return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, chunk_index int, text string, start int, `end` int, tokens int")
-
-
-MENTION = "array<struct<shop_name: string, address: string, sentiment: string, confidence: double, evidence: string, praise: array<string>>>"
-
-
-def extracted(chunk_rows: DataFrame, model: Callable[[str], str], id_col: str, tries: int = 3, confidence_min: float = 0.6) -> DataFrame:
-    """Mentions of a model's JSON answers; answers that are no object with mentions are asked for again, then become an error row."""
-    kind = chunk_rows.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for batch in batches:
-            answers = []
-            for text in batch["text"]:
-                answer = None
-                for _ in range(tries):
-                    try:
-                        raw = re.sub(r"^```(?:json)?\s*|\s*```$", "", model(text).strip())
-                        if isinstance(json.loads(raw), dict):
-                            answer = raw
-                            break
-                    except ValueError:
-                        continue
-                answers.append(answer)
-            yield pd.DataFrame({id_col: batch[id_col], "chunk_index": batch["chunk_index"], "answer": answers})
-
-    answered = chunk_rows.select(id_col, "chunk_index", "text").mapInPandas(run, f"`{id_col}` {kind}, chunk_index int, answer string")
-    rows = answered.withColumn("failed", F.col("answer").isNull()).withColumn("m", F.explode_outer(F.from_json("answer", f"mentions {MENTION}")["mentions"]))
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("m.confidence", F.lit(0.0))))
-    return rows.select(id_col, "chunk_index", "failed", "m.*").withColumn("confidence", sure).where(F.col("failed") | (F.col("confidence") >= confidence_min))
-
-
-def mock_model(answers: dict[str, str]) -> Callable[[str], str]:
-    """The answer of the first key that a text contains."""
-    return lambda text: next((a for k, a in answers.items() if k in text), '{"mentions": []}')

@@ -1,54 +1,10 @@
-"""Writers: idempotent ingest, replacement by content, snapshots, sheets and metrics."""
+"""Writers: snapshots, sheets and metrics (upserts are in savora.operators.ingest)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from savora.functions.text import cleaned, content_hash
-from savora.params import Params
-
-
-def hashed(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("content_hash", content_hash(F.col("raw_text")))
-
-
-def classify(raw: DataFrame, known: DataFrame, fingerprint: str) -> DataFrame:
-    """Each raw row (the first of its source and text) as new, unchanged or rebuild, against what is stored."""
-    first = Window.partitionBy("source", "content_hash").orderBy("seq")
-    once = hashed(raw).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    old = known.select("source", "content_hash", F.col("status").alias("_status"), F.col("fingerprint").alias("_print"))
-    met = once.join(old, ["source", "content_hash"], "left")
-    same = F.col("_status").isin("cleaned", "extracted") & (F.col("_print") == fingerprint)
-    return met.withColumn("action", F.when(F.col("_status").isNull(), "new").when(same, "unchanged").otherwise("rebuild")).drop("_status", "_print")
-
-
-def ingest(raw: DataFrame, known: DataFrame, p: Params, fingerprint: str) -> DataFrame:
-    """The rows to write: only what is new or must be rebuilt is cleaned."""
-    work = classify(raw, known, fingerprint).where("action <> 'unchanged'")
-    out = work.withColumn("_c", cleaned(F.col("raw_text"), p))
-    return out.select("*", F.col("_c.text").alias("clean_text"), F.col("_c.in_script").alias("in_script"), F.col("_c.low_trust").alias("low_trust"), F.col("_c.ad_hits").alias("ad_hits"), F.lit("cleaned").alias("status"), F.lit(fingerprint).alias("fingerprint")).drop("_c")
-
-
-def replaced_by_content(old: DataFrame, new: DataFrame, key: str = "content_id") -> DataFrame:
-    """Rows of contents that were done again are exchanged as a whole."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
-def content_status(chunks: DataFrame) -> DataFrame:
-    """A content has failed only if all its chunks have."""
-    return chunks.groupBy("content_id").agg(F.when(F.bool_and(F.col("status") == "failed"), "failed").otherwise("extracted").alias("status"))
-
-
-def upsert_places(places: DataFrame, shops: DataFrame) -> DataFrame:
-    """Each place as a match by place id, else by name, else as new; of places of one name only the first may be new."""
-    by_id = shops.where("poi_id is not null").groupBy("city", "poi_id").agg(F.max("shop_id").alias("_by_id"))
-    by_name = shops.groupBy("city", "name_norm").agg(F.max("shop_id").alias("_by_name"))
-    met = places.join(by_id, ["city", "poi_id"], "left").join(by_name, ["city", "name_norm"], "left").withColumn("shop_id", F.coalesce("_by_id", "_by_name"))
-    order = F.row_number().over(Window.partitionBy("city", "name_norm").orderBy("seq"))
-    action = F.when(F.col("_by_id").isNotNull(), "by id").when(F.col("_by_name").isNotNull(), "by name").when(order == 1, "new").otherwise("joins new")
-    return met.withColumn("action", action).drop("_by_id", "_by_name")
-
 
 def write_items(items: DataFrame, path: str) -> None:
     """Ranking items, a folder for each city, so that reads of one city open no other files."""
