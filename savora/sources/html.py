@@ -6,7 +6,7 @@ Of character references those in ``REFERENCES`` are decoded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -59,6 +59,13 @@ def detail_links(links: Column, page: Column, most: int = 20) -> Column:
     return F.slice(F.filter(links, lambda u: (host(u) == host(page)) & (u != page)), 1, most)
 
 
+def details(lists: DataFrame, pages: DataFrame, most_text: int = 6000) -> DataFrame:
+    """The crawl from lists (url, html) to the captured pages of their own hosts that they link, in each list's order; pages without text are left out."""
+    links = F.posexplode(detail_links(html_links(F.col("html"), F.col("url")), F.col("url"), 1 << 30)).alias("place", "source_url")
+    texts = pages.select(F.col("url").alias("source_url"), F.substring(html_text(F.col("html")), 1, most_text).alias("raw_text"), page_title(F.col("html")).alias("raw_title")).where("raw_text <> ''")
+    return lists.select(F.col("url").alias("list_url"), links).join(texts, "source_url")
+
+
 def _sql_decoded(x: str) -> str:
     for name, character in REFERENCES:
         x = f"replace({x}, '{name}', {"chr(" + str(ord(character)) + ")"})"
