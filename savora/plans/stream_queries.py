@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from savora.plans.analytics_queries import LIMIT_MINUTES, LIMIT_MOST, RATE_LIMIT_SQL
 from savora.plans.bindings import TRACKS_SQL, tracks
 from savora.plans.ranking_queries import with_
-from savora.streaming import jobs
+from savora.sources.store import work_path
+from savora.streaming import jobs, states
+
+DAY = 24 * 60
 
 
 def daily(s, d):
@@ -17,8 +21,79 @@ def sliding(s, d):
     return jobs.sliding_counts(tracks(s, d)).select(F.date_format("upto", "yyyy-MM-dd HH:mm").alias("upto"), "n")
 
 
-QUERIES = {"events_daily_window": daily, "events_sliding_count": sliding}
+def through(s, d, machine, **columns):
+    """The events as a stream through a state machine, in one batch; what timers made is left out."""
+    session = states.state_session(s)
+    shape = session.read.parquet(f"{d}/events.parquet").schema
+    rows = session.readStream.schema(shape).parquet(f"{d}/events.parquet*").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), *[c.alias(n) for n, c in columns.items()])
+    out, log = work_path(s, "decisions"), work_path(s, "decisions-log")
+    decided = states.decided(rows.withWatermark("at", "0 seconds"), machine)
+    decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(states.OUT).parquet(out).where("seq is not null").select("key", F.col("seq").alias("event_id"), "what")
+
+
+THROTTLE, BREAKER, CODES = states.LoginThrottle(5 * DAY, 5, 3 * DAY), states.Breaker(7, 10 * DAY), states.OneTimeCodes(10 * DAY, 3)
+
+
+def login_throttle(s, d):
+    """Events as attempts to log in, of which purchases succeed."""
+    return through(s, d, THROTTLE, success=F.col("event_type") == "purchase")
+
+
+def breaker_runs(s, d):
+    """Events as runs of a user's source; errors are refused as often as a tenth of their value says."""
+    return through(s, d, BREAKER, refused=F.when(F.col("event_type") == "error", F.floor(F.col("value") / 10)).otherwise(0).cast("int"))
+
+
+def code_lifecycle(s, d):
+    """Sign-ups issue a code, everything else tries one."""
+    code = (F.get_json_object("props", "$.k").cast("long") % 4).cast("string")
+    return through(s, d, CODES, kind=F.when(F.col("event_type") == "signup", "issue").otherwise("try"), code=code)
+
+
+def limited_views(s, d):
+    return through(s, d, states.SlidingLimit(LIMIT_MINUTES, LIMIT_MOST)).select(F.col("key").alias("user_id"), "event_id", (F.col("what") == "accepted").alias("accepted"))
+
+
+#: e: a user's events by n, with t in micros; one step of the recursion for each.
+EVENTS_SQL = "e AS (SELECT CAST(user_id AS VARCHAR) AS k, event_id, epoch_us(ts) AS t, event_type, value, json_extract_string(props, '$.k') AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+QUERIES = {"events_daily_window": daily, "events_sliding_count": sliding, "login_throttle": login_throttle, "breaker_runs": breaker_runs, "code_lifecycle": code_lifecycle, "limited_views": limited_views}
 SQL = {
     "events_daily_window": with_(TRACKS_SQL, "SELECT strftime(created_at, '%Y-%m-%d') AS day, action, count(*) AS n FROM tracks GROUP BY ALL"),
     "events_sliding_count": with_(TRACKS_SQL, "SELECT strftime(date_trunc('hour', created_at) + to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M') AS upto, count(*) AS n FROM tracks, range(1, 25) r(h) GROUP BY 1"),
+    "limited_views": RATE_LIMIT_SQL,
+    "login_throttle": with_(
+        EVENTS_SQL,
+        f""", w AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS fails, CAST(0 AS BIGINT) AS until, '' AS what FROM e
+        UNION ALL SELECT k, n, event_id, CASE WHEN hit OR (ok AND NOT held) THEN [] WHEN held THEN fails ELSE now END, CASE WHEN held THEN until WHEN hit THEN t + {THROTTLE.lock} ELSE 0 END,
+          CASE WHEN held THEN 'locked' WHEN ok THEN 'succeeded' WHEN hit THEN 'locking' ELSE 'failed' END FROM (
+          SELECT *, NOT held AND NOT ok AND len(now) >= {THROTTLE.most} AS hit FROM (
+            SELECT e.k, e.n, e.event_id, e.t, e.event_type = 'purchase' AS ok, w.fails, w.until, e.t < w.until AS held, list_append(list_filter(w.fails, lambda x: e.t - x <= {THROTTLE.span}), e.t) AS now
+            FROM w JOIN e ON e.k IS NOT DISTINCT FROM w.k AND e.n = w.n + 1)))
+        SELECT k AS key, event_id, what FROM w WHERE n > 0""",
+        recursive=True,
+    ),
+    "breaker_runs": with_(
+        EVENTS_SQL,
+        f""", w AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS until, '' AS what FROM e
+        UNION ALL SELECT e.k, e.n, e.event_id, CASE WHEN e.t < w.until THEN w.until WHEN e.event_type = 'error' AND floor(e.value / 10) >= {BREAKER.limit} THEN e.t + {BREAKER.span} ELSE 0 END,
+          CASE WHEN e.t < w.until THEN 'held' WHEN e.event_type = 'error' AND floor(e.value / 10) >= {BREAKER.limit} THEN 'tripped' ELSE 'ran' END
+        FROM w JOIN e ON e.k IS NOT DISTINCT FROM w.k AND e.n = w.n + 1)
+        SELECT k AS key, event_id, what FROM w WHERE n > 0""",
+        recursive=True,
+    ),
+    "code_lifecycle": with_(
+        EVENTS_SQL,
+        f""", w AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([] AS STRUCT(c VARCHAR, until BIGINT, f INTEGER)[]) AS codes, '' AS what FROM e
+        UNION ALL SELECT k, n, event_id, CASE WHEN issue THEN list_append(open, {{'c': code, 'until': t + {CODES.span}, 'f': 0}}) WHEN pos > 0 THEN open[:pos - 1] || open[pos + 1:] WHEN len(open) = 0 THEN open
+            WHEN open[-1].f + 1 >= {CODES.attempts} THEN open[:-2] ELSE list_append(open[:-2], {{'c': open[-1].c, 'until': open[-1].until, 'f': open[-1].f + 1}}) END,
+          CASE WHEN issue THEN 'issued' WHEN pos > 0 AND open[pos].f < {CODES.attempts} THEN 'passed' ELSE 'refused' END FROM (
+          SELECT *, CASE WHEN list_contains(names, code) THEN len(open) - list_position(list_reverse(names), code) + 1 ELSE 0 END AS pos FROM (
+            SELECT *, list_transform(open, lambda c: c.c) AS names FROM (
+              SELECT e.k, e.n, e.event_id, e.t, e.event_type = 'signup' AS issue, CAST(CAST(e.x AS BIGINT) % 4 AS VARCHAR) AS code, list_filter(w.codes, lambda c: c.until > e.t) AS open
+              FROM w JOIN e ON e.k IS NOT DISTINCT FROM w.k AND e.n = w.n + 1))))
+        SELECT k AS key, event_id, what FROM w WHERE n > 0""",
+        recursive=True,
+    ),
 }

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: ingest, daily buckets, gauges, limits and states.
+"""Structured Streaming jobs: ingest, daily buckets, gauges, and liveness (state machines are in savora.streaming.states).
 
 Each takes a streaming DataFrame and returns one, or the rows of a batch; with the same rows,
 batch and stream give the same results.
@@ -34,55 +34,6 @@ def sliding_counts(events: DataFrame, span: str = "24 hours", step: str = "1 hou
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.end").alias("upto"), "n", "total")
 
 
-def rate_limited(events: DataFrame, key: str, minutes: int, most: int) -> DataFrame:
-    """Accepts an event unless ``most`` accepted ones of its key lie within the last minutes (boundary included).
-
-    The state of a key is the times of its accepted events in the window; it goes when none is left.
-    """
-    span = minutes * 60_000_000
-
-    def fold(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        accepted = []
-        for t in rows["t"]:
-            kept = [x for x in kept if x >= t - span]
-            accepted.append(len(kept) < most)
-            if accepted[-1]:
-                kept.append(int(t))
-        state.update((kept,))
-        state.setTimeoutDuration(minutes * 60_000)
-        yield pd.DataFrame({key: [key_[0]] * len(rows), "event_id": rows["event_id"], "accepted": accepted})
-
-    slim = events.select(F.col(key).cast("string").alias(key), "event_id", F.unix_micros("created_at").alias("t"))
-    return slim.groupBy(key).applyInPandasWithState(fold, f"{key} string, event_id long, accepted boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def breaker(fetches: DataFrame, limit: int = 5, open_minutes: int = 360) -> DataFrame:
-    """Per source and run: trips when refusals (403, 429) reach the limit, and stays open for a while.
-
-    fetches: source, at (micros), refused (count of one run). The state is keyed by source, so runs
-    of other sources in between don't make it forgotten.
-    """
-    span = open_minutes * 60_000_000
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else 0
-        out = []
-        for t, refused in pd.concat(list(batches)).sort_values("at")[["at", "refused"]].itertuples(index=False):
-            held = t < until
-            if not held and refused >= limit:
-                until = int(t) + span
-            out.append((key[0], int(t), held, until))
-        state.update((until,))
-        yield pd.DataFrame(out, columns=["source", "at", "held", "open_until"])
-
-    return fetches.groupBy("source").applyInPandasWithState(fold, "source string, at long, held boolean, open_until long", "until long", "append", GroupStateTimeout.NoTimeout)
-
-
 def liveness(history: DataFrame, p: Params) -> DataFrame:
     """The state of each key after every batch (key, at in micros, seq, kind: hit, miss or evidence)."""
 
@@ -102,26 +53,6 @@ def liveness(history: DataFrame, p: Params) -> DataFrame:
     return history.groupBy("key").applyInPandasWithState(fold, "key long, miss_count long, liveness string", "misses long, now string", "update", GroupStateTimeout.NoTimeout)
 
 
-def login_throttle(attempts: DataFrame, minutes: int = 15, most: int = 5) -> DataFrame:
-    """attempts: key, at (micros), seq, success. Locks a key after ``most`` failures within the window; success resets."""
-    span = minutes * 60_000_000
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out = []
-        for t, seq, success in pd.concat(list(batches)).sort_values(["at", "seq"])[["at", "seq", "success"]].itertuples(index=False):
-            locked = t < until
-            if not locked:
-                failures = [] if success else [x for x in failures if t - x <= span] + [int(t)]
-                if len(failures) >= most:
-                    failures, until = [], int(t) + span
-            out.append((key[0], int(seq), locked))
-        state.update((failures, until))
-        yield pd.DataFrame(out, columns=["key", "seq", "locked"])
-
-    return attempts.groupBy("key").applyInPandasWithState(fold, "key string, seq long, locked boolean", "failures array<long>, until long", "append", GroupStateTimeout.NoTimeout)
-
-
 def firing(samples: DataFrame, threshold: float, minutes: int) -> DataFrame:
     """Alert rules: samples (rule, at, value) whose rule has been above the threshold without a break for the minutes."""
     from pyspark.sql import Window
