@@ -8,8 +8,8 @@ the label good, from the forward-backward recursion, weighted by the lines' leng
 document's score.
 
 It is fitted on at most ``SAMPLE`` labelled documents (those with the smallest hash of their id;
-the bound is a parameter) and at most the first ``LINES`` lines of each, which carry their
-document's label; scoring reads all lines. Features are made on the
+the bound is a parameter) of no more than ``LINES`` lines, a bound of the sample too; their lines
+carry the document's label. Scoring reads all lines of all documents. Features are made on the
 executors; the driver gets indicator bits of sampled documents only. Scoring maps over whole texts
 and shuffles nothing.
 
@@ -146,15 +146,17 @@ def fit(bits: np.ndarray, counts: np.ndarray, good: np.ndarray, steps: int = 150
     return theta[:-4].astype(np.float32), theta[-4:].reshape(2, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    """Fits on at most ``sample`` texts outside the held-out fold; None without two classes."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> tuple[np.ndarray, np.ndarray] | None:
+    """Fits on at most ``sample`` texts of at most ``lines`` lines each, outside the held-out fold; None without two classes."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("good")).where("id is not null and good in (0, 1)")
     usable = usable.where(F.crc32(F.col("id").cast("string")) % FOLDS != 0)
     chosen = usable.groupBy("id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most ``sample`` rows are broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     # rows that share an id count once, by their greatest text, so there are at most ``sample`` rows
-    texts = texts.groupBy("id").agg(F.max("text").alias("text"), F.max("good").alias("good")).select("text", "good")
+    texts = texts.groupBy("id").agg(F.max("text").alias("text"), F.max("good").alias("good"))
+    # longer ones are no part of the sample, so that its lines are bounded too; no text is cut
+    texts = texts.where(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < lines).select("text", "good")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bits, _, counts = features(batch["text"].tolist())
                 packed = np.packbits(bits.astype(bool), axis=1)
                 ends = np.cumsum(counts)
-                yield pd.DataFrame({"good": batch["good"].astype("int32"), "bits": [packed[b - n : min(b, b - n + LINES)].tobytes() for b, n in zip(ends, counts, strict=True)]})
+                yield pd.DataFrame({"good": batch["good"].astype("int32"), "bits": [packed[b - n : b].tobytes() for b, n in zip(ends, counts, strict=True)]})
 
     rows = sorted((r.good, bytes(r.bits)) for r in texts.mapInPandas(pack, "good int, bits binary").collect())
     if len({g for g, _ in rows}) < 2:
