@@ -1,8 +1,9 @@
 """64-bit hashes of words and word windows of many texts at once, in numpy.
 
-Words are runs of bytes other than ASCII white space. A word's hash is a polynomial over random
-values of its bytes (prefix sums give all words of a batch together), mixed with its length; a
-window's hash is a random linear form of its words' hashes, mixed again.
+Words are runs of bytes other than ASCII white space. A word's hash is the sum of a random number
+for each byte and its place in the word (tabulation; prefix sums give all words of a batch
+together), mixed with its length; a window's hash is a random linear form of its words' hashes,
+mixed again. A polynomial modulo 2^64 would not do: for it, Thue-Morse words are equal.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 SPACES = b" \t\n\x0b\x0c\r"
-BASE = 0x9E3779B97F4A7C13  # odd and 3 modulo 4
+STEP = np.uint64(0x9E3779B97F4A7C15)  # odd: places of a word differ by it
 BYTES_AT_ONCE = 2_000_000
 
 
@@ -38,13 +39,6 @@ def byte_values(lower: bool) -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=2)
-def powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base, dtype=np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
 def prefix_sums(x: np.ndarray) -> np.ndarray:
     """0 and the sums of the first 1, 2, ... numbers, modulo 2^64 (never by way of floats)."""
     out = np.zeros(len(x) + 1, dtype=np.uint64)
@@ -54,20 +48,22 @@ def prefix_sums(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
-_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words one after another, and how many words each text has."""
     flat = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
-    room = 1 << int(len(flat)).bit_length()
     space = _SPACE[flat]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = prefix_sums(byte_values(lower)[flat] * powers(BASE, room)[: len(flat)])
-    words = (sums[ends] - sums[starts]) * powers(_INVERSE, room)[starts]
+    lengths = ends - starts
+    solid = flat[~space]  # the words' bytes, one word after another
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(solid), dtype=np.uint64) - np.repeat(first.astype(np.uint64), lengths)
+    sums = prefix_sums(mix(byte_values(lower)[solid] + place * STEP))
+    words = sums[first + lengths] - sums[first]
     offsets = np.cumsum([1, *[len(t) + 1 for t in texts]])
-    return mix(words + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.diff(np.searchsorted(starts, offsets))
+    return mix(words + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.diff(np.searchsorted(starts, offsets))
 
 
 def windows(words: np.ndarray, length: int, seed: int) -> np.ndarray:
