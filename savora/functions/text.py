@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from savora.functions.similarity import matching_ratios
 from savora.params import Params
 
 FULL = "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0x3000]))
@@ -184,9 +184,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp ratio (Python: Spark has no such function); the order of the arguments matters."""
+    """Matching-block ratio (Spark has no such function), for a batch at once; the order of the arguments matters."""
     for left, right in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)])
+        yield pd.Series(matching_ratios(left.fillna("").tolist(), right.fillna("").tolist()), dtype="float64")
 
 
 def name_similarity(a: Column, b: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from savora.functions.text import address_tokens, brand_stem, composite_similarity, contains_any, jaccard, name_similarity
+from savora.functions.text import address_tokens, brand_stem, composite_similarity, contains_any, jaccard
+from savora.operators.similar import similar_names
 from savora.params import Params
 
 
@@ -56,19 +57,18 @@ def duplicate_pairs_by_address(shops: DataFrame, at_least: float) -> DataFrame:
     return left.join(alike, [*block, "a_address"]).join(right, [*block, "b_address"]).where("a < b").select("city", "a", "b", "similarity")
 
 
-def may_reach(a: Column, b: Column, least: float) -> Column:
-    """Whether the matching ratio of two names can reach ``least``: it is at most twice the common characters over all characters, and those are at most the shorter name."""
-    return (F.contains(a, b) | F.contains(b, a)) | (2 * F.least(F.char_length(a), F.char_length(b)) >= least * (F.char_length(a) + F.char_length(b)))
-
-
 def duplicate_pairs_composite(shops: DataFrame, p: Params, at_least: float = 0.85) -> DataFrame:
-    """Pairs of a city alike by name and address; what can't reach the threshold is left out before any Python."""
-    pairs = candidate_pairs(shops, ["city"])
-    address = jaccard(address_tokens(F.col("a_address")), address_tokens(F.col("b_address")))
-    least = max(0.0, (at_least - p.address_weight) / p.name_weight)
-    kept = pairs.withColumn("_address", address).where(may_reach(F.col("a_name"), F.col("b_name"), least))
-    named = kept.withColumn("_name", name_similarity(F.col("a_name"), F.col("b_name")))
-    return named.withColumn("similarity", composite_similarity(F.col("_name"), F.col("_address"), p)).where(F.col("similarity") >= at_least).select("city", "a", "b", "similarity")
+    """Pairs of a city alike by name and address: alike names are found by an index, shops of one name and address are compared once."""
+    least = max(0.01, (at_least - p.address_weight) / p.name_weight)
+    active = shops.where("status = 'active'").select("city", "shop_id", "name_norm", "address")
+    names = similar_names(active, active, ["city"], "name_norm", least).select("city", "a", "b", F.col("similarity").alias("_name"))
+    known = active.select("city", "name_norm", "address").distinct().withColumn("t", address_tokens(F.col("address")))
+    side = lambda x: known.select("city", F.col("name_norm").alias(x), F.col("address").alias(f"{x}_address"), F.col("t").alias(f"{x}_t"))
+    alike = names.join(side("a"), ["city", "a"]).join(side("b"), ["city", "b"])
+    alike = alike.withColumn("similarity", composite_similarity(F.col("_name"), jaccard(F.col("a_t"), F.col("b_t")), p)).where(F.col("similarity") >= at_least)
+    keys = lambda x, y: (F.col(f"{x}.city") == F.col("k.city")) & (F.col(f"{x}.name_norm") == F.col(f"k.{y}")) & F.col(f"{x}.address").eqNullSafe(F.col(f"k.{y}_address"))
+    met = alike.alias("k").join(active.alias("l"), keys("l", "a")).join(active.alias("r"), keys("r", "b"))
+    return met.where("l.shop_id < r.shop_id").select("k.city", F.col("l.shop_id").alias("a"), F.col("r.shop_id").alias("b"), "k.similarity")
 
 
 def group_verdicts(shops: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from savora.functions.text import address_tokens, brand_stem, composite_similarity, jaccard, name_similarity
-from savora.operators.quality import may_reach
+from savora.functions.similarity import matching_ratios
+from savora.functions.text import address_tokens, brand_stem, composite_similarity, jaccard
+from savora.operators.similar import similar_names
 from savora.params import Params
+from savora.sources.store import work_dir
 
 DECISIONS = "mid {id}, shop_id {id}, action string, reason string, score double, new_name string"
 
@@ -39,8 +40,7 @@ def fuzzy_matches(names: DataFrame, shops: DataFrame, p: Params) -> DataFrame:
     side = shops.where("status = 'active'").select("city", "shop_id", F.col("name_norm").alias("shop_norm"), address_tokens(F.col("address")).alias("_there"))
     least = max(0.0, (p.review_threshold - p.address_weight) / p.name_weight)
     asked = names.select(*texts).distinct().withColumn("_here", address_tokens(F.col("address_text")))
-    known = names.select("city", "name_norm").distinct().join(side.select("city", "shop_norm").distinct(), "city").where(may_reach(F.col("name_norm"), F.col("shop_norm"), least))
-    alike = known.withColumn("_n", name_similarity(F.col("name_norm"), F.col("shop_norm"))).where(F.col("_n") >= least)
+    alike = similar_names(names, shops.where("status = 'active'"), ["city"], "name_norm", max(least, 0.01)).select("city", F.col("a").alias("name_norm"), F.col("b").alias("shop_norm"), F.col("similarity").alias("_n"))
     scored = asked.join(alike, ["city", "name_norm"]).join(side, ["city", "shop_norm"]).withColumn("score", composite_similarity(F.col("_n"), jaccard(F.col("_here"), F.col("_there")), p))
     found = scored.select("city", key.alias("_key"), "shop_id", "score")
     best = found.groupBy("city", "_key").agg(F.max("score").alias("_best"))
@@ -80,29 +80,42 @@ class _City:
 
     def best(self, row: dict, p: Params) -> tuple[float, list[dict]]:
         """The highest score from the review threshold on, and the shops within 1e-9 of it; what can't reach the threshold isn't scored."""
-        here, scores = set(row["tokens"]), []
+        here, scores, open_ = set(row["tokens"]), [], []
         for shop in self.shops:
             there = set(shop["tokens"])
             share = len(here & there) / len(here | there) if here and there else None
             need = p.review_threshold if share is None else (p.review_threshold * (p.name_weight + p.address_weight) - p.address_weight * share) / p.name_weight
-            name = _name_score(row["norm"], shop["norm"], need - 1e-6)
-            score = name if share is None else (p.name_weight * name + p.address_weight * share) / (p.name_weight + p.address_weight)
-            if score >= p.review_threshold:
+            name = _plain_score(row["norm"], shop["norm"], need - 1e-6)
+            if name is None:
+                open_.append((shop, share))
+            elif (score := _weighted(name, share, p)) >= p.review_threshold:
                 scores.append((score, shop))
+        if open_:  # all at once
+            ratios = matching_ratios([row["norm"]] * len(open_), [shop["norm"] for shop, _ in open_])
+            weighed = [(_weighted(float(r), share, p), shop) for r, (shop, share) in zip(ratios, open_, strict=True)]
+            scores += [(score, shop) for score, shop in weighed if score >= p.review_threshold]
+            scores.sort(key=lambda x: self.at[x[1]["id"]])
         top = max((s for s, _ in scores), default=0.0)
         return top, [shop for s, shop in scores if s >= top - 1e-9]
 
 
-def _name_score(a: str, b: str, need: float) -> float:
-    """The similarity of two names; 0 where a bound shows that it stays below ``need``."""
+def _weighted(name: float, share: float | None, p: Params) -> float:
+    return name if share is None else (p.name_weight * name + p.address_weight * share) / (p.name_weight + p.address_weight)
+
+
+def _plain_score(a: str, b: str, need: float) -> float | None:
+    """The similarity of two names where no matching is needed (0 where a bound shows that it stays below ``need``), else null."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     if a in b or b in a:
         return 0.9
-    pair = difflib.SequenceMatcher(None, a, b)
-    return pair.ratio() if pair.real_quick_ratio() >= need and pair.quick_ratio() >= need else 0.0
+    total = len(a) + len(b)
+    if 2 * min(len(a), len(b)) < need * total:
+        return 0.0
+    common = sum((Counter(a) & Counter(b)).values())
+    return None if 2 * common >= need * total else 0.0
 
 
 def align_in_order(mentions: DataFrame, shops: DataFrame, p: Params, aliases: DataFrame | None = None) -> DataFrame:
@@ -193,14 +206,22 @@ def reviewed(reviews: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def merged_into(spark: SparkSession, merges: DataFrame) -> DataFrame:
-    """source, target of merges resolved to the last target, by pointer doubling (a logarithmic number of joins)."""
-    now = merges.select("source", "target")
+    """source, target of merges resolved to the last target, by pointer doubling (a logarithmic number of joins).
+
+    Of several merges of a source the one into the least target counts. Merges in a circle have no last target: their
+    least member is it, for them and for what leads to them, and keeps its own row out of the result.
+    """
+    work_dir(spark)  # rounds are cut by checkpoints
+    now = merges.where("source <> target").groupBy("source").agg(F.min("target").alias("target")).withColumn("least", F.col("target")).checkpoint()
+    n, reach = now.count(), 1
     while True:
-        step = now.alias("x").join(now.alias("y"), F.col("x.target") == F.col("y.source"), "left").select("x.source", F.coalesce("y.target", "x.target").alias("target"), F.col("y.target").isNotNull().alias("moved"))
-        step = step.checkpoint() if spark.sparkContext.getCheckpointDir() else step.persist()
-        if step.where("moved and source <> target").isEmpty():
-            return step.select("source", "target")
-        now = step.select("source", "target")
+        met = now.alias("x").join(now.alias("y"), F.col("x.target") == F.col("y.source"), "left")
+        if reach >= n or met.where("y.source is not null").isEmpty():
+            break
+        now = met.select("x.source", F.coalesce("y.target", "x.target").alias("target"), F.least("x.least", F.coalesce("y.least", "x.least")).alias("least")).checkpoint()
+        reach *= 2
+    # a target that is a source still lies in a circle, all of whose members it has met
+    return met.select("x.source", F.coalesce("y.least", "x.target").alias("target")).where("source <> target")
 
 
 def merge_shops(shops: DataFrame, mentions: DataFrame, aliases: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from savora.functions import text as tx
 from savora.operators import chunking, quality
 from savora.params import TABLES as P
-from savora.plans.bindings import table
+from savora.plans.bindings import shops, table
 from savora.sources import html
 
 
@@ -28,7 +29,15 @@ def found_names(s, d, step):
     return docs(s, d).select("doc_id", F.filter(words, lambda w, i: i % step == 0).alias("names"))
 
 
+def name_pairs(s, d):
+    """Every shop's normalised name against that of the next shop of its city."""
+    w = Window.partitionBy("city").orderBy("shop_id")
+    rows = shops(s, d).select("city", "shop_id", "name_norm", F.lead("shop_id").over(w).alias("next_id"), F.lead("name_norm").over(w).alias("next_norm"))
+    return rows.select("shop_id", "next_id", tx.name_similarity(F.col("name_norm"), F.col("next_norm")).alias("similarity"))
+
+
 QUERIES = {
+    "name_similarity": name_pairs,
     "clean_text": lambda s, d: docs(s, d).select("doc_id", tx.cleaned(F.col("text"), P).alias("c")).select("doc_id", "c.text", "c.in_script", "c.low_trust"),
     "language_gate": lambda s, d: docs(s, d).select("doc_id", F.round(tx.script_ratio(F.coalesce("text", F.lit("")), P.script_class), 6).alias("ratio"), (tx.script_ratio(F.coalesce("text", F.lit("")), P.script_class) >= P.min_script_ratio).alias("in_script")),
     "ad_hits": lambda s, d: docs(s, d).select("doc_id", F.array_join(tx.word_hits(F.coalesce("text", F.lit("")), P.ad_words), ",").alias("hits")),
