@@ -29,3 +29,11 @@ def rnd(x: Column, n: int) -> Column:
     upper, q = x.cast("float").cast("double"), F.rint(x * scale)
     beyond = F.signum((upper * scale - q) + (x - upper) * scale)
     return F.rint((q + beyond / 2) / 2) / F.lit(float(10**n)) + F.lit(0.0)
+
+
+def rnd_of(name: str, n: int) -> Column:
+    """``rnd`` of a column that is there already, as one expression text: quick to build and small to plan."""
+    x, scale = f"`{name}`", f"{float(2 * 10**n)!r}D"
+    upper = f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+    q = f"rint({x} * {scale})"
+    return F.expr(f"rint(({q} + signum(({upper} * {scale} - {q}) + ({x} - {upper}) * {scale}) / 2.0D) / 2.0D) / {float(10**n)!r}D + 0.0D")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from savora.functions.text import clamp01, contains_any, count_hits, saturate
-from savora.functions.time import DAY, days_between, instant, rnd
+from savora.functions.time import DAY, days_between, instant, rnd, rnd_of
 from savora.params import Params
 
 
@@ -124,13 +124,17 @@ def penalty_values(p: Params) -> dict[str, Column]:
 
 
 def features(shops: DataFrame, p: Params) -> DataFrame:
-    """Adds f_<feature> (value) and c_<feature> (contribution, from the value before rounding)."""
+    """Adds f_<feature> (value) and c_<feature> (contribution, from the value before rounding). Values are bound once, rounded in the next step."""
     values = feature_values(p)
-    return shops.select("*", *[rnd(v, 4).alias(f"f_{k}") for k, v in values.items()], *[rnd(v * p.weights[k], 4).alias(f"c_{k}") for k, v in values.items()])
+    bound = shops.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
+    weighted = bound.select("*", *[(F.col(f"_v_{k}") * p.weights[k]).alias(f"_g_{k}") for k in values])
+    return weighted.select(*shops.columns, *[rnd_of(f"_v_{k}", 4).alias(f"f_{k}") for k in values], *[rnd_of(f"_g_{k}", 4).alias(f"c_{k}") for k in values])
 
 
 def penalties(shops: DataFrame, p: Params) -> DataFrame:
-    return shops.select("*", *[rnd(v, 4).alias(f"p_{k}") for k, v in penalty_values(p).items()])
+    values = penalty_values(p)
+    bound = shops.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
+    return bound.select(*shops.columns, *[rnd_of(f"_v_{k}", 4).alias(f"p_{k}") for k in values])
 
 
 def exclude_reason(p: Params) -> Column:
@@ -162,14 +166,13 @@ def scored(shops: DataFrame, p: Params, use_penalties: bool | Column = True, use
     gain = sum((F.col(f"c_{k}") for k in list(p.weights)[1:]), F.col(f"c_{list(p.weights)[0]}"))
     names = list(penalty_values(p))
     loss = sum((F.col(f"p_{k}") for k in names[1:]), F.col(f"p_{names[0]}"))
-    based = marked.withColumn("base_score", rnd(F.when(flag(use_penalties), gain - loss).otherwise(gain), 4))
-    reason = F.when(flag(use_rules), exclude_reason(p))
-    ruled = based.withColumn("exclude_reason", reason).withColumn("excluded", F.col("exclude_reason").isNotNull())
-    ruled = ruled.withColumn("multiplier", F.when(F.col("burst") & ~F.col("excluded"), 0.5).otherwise(1.0)).withColumn("time_decay", F.when(flag(use_decay), time_decay(p)).otherwise(1.0))
-    ruled = ruled.withColumn("confidence", rnd(saturate(F.col("mention_count"), p.confidence_target), 4))
-    quality = rnd(clamp01(5 * F.greatest(F.lit(0.0), F.col("base_score")) * F.col("time_decay") * F.col("multiplier") / 5) * 5, 1)
-    ruled = ruled.withColumn("score", F.when(F.col("excluded"), 0.0).otherwise(quality))
-    return ruled.withColumn("tenure_bonus", F.when(F.col("excluded"), 0.0).otherwise(tenure_bonus(p)))
+    decay = F.when(flag(use_decay), time_decay(p)).otherwise(1.0)
+    based = marked.select("*", F.when(flag(use_penalties), gain - loss).otherwise(gain).alias("_base"), F.when(flag(use_rules), exclude_reason(p)).alias("exclude_reason"), decay.alias("time_decay"), saturate(F.col("mention_count"), p.confidence_target).alias("_confidence"), tenure_bonus(p).alias("_bonus"))
+    excluded = F.col("exclude_reason").isNotNull()
+    ruled = based.select(*marked.columns, rnd_of("_base", 4).alias("base_score"), "exclude_reason", excluded.alias("excluded"), F.when(F.col("burst") & ~excluded, 0.5).otherwise(1.0).alias("multiplier"), "time_decay", rnd_of("_confidence", 4).alias("confidence"), F.when(excluded, 0.0).otherwise(F.col("_bonus")).alias("tenure_bonus"))
+    quality = clamp01(5 * F.greatest(F.lit(0.0), F.col("base_score")) * F.col("time_decay") * F.col("multiplier") / 5) * 5
+    valued = ruled.select("*", quality.alias("_quality"))
+    return valued.select(*ruled.columns, F.when(F.col("excluded"), 0.0).otherwise(rnd_of("_quality", 1)).alias("score"))
 
 
 def smoothed(shops: DataFrame, p: Params, by: list[str] | None = None) -> DataFrame:
@@ -179,17 +182,19 @@ def smoothed(shops: DataFrame, p: Params, by: list[str] | None = None) -> DataFr
     tenths = F.sum(F.when(valid, F.round(F.col("score") * 10).cast("long"))).over(city)
     k = F.count(F.when(valid, 1)).over(city)
     n, c = F.col("mention_count"), p.bayes_prior
-    smooth = rnd(F.greatest(F.lit(0.0), F.least(F.lit(5.0), (c * F.col("_prior") + n * F.col("score")) / (c + n))), 1)
-    out = shops.withColumn("_k", k).withColumn("_prior", tenths / 10.0 / k)
-    return out.withColumn("smoothed", F.when(valid & (F.col("_k") >= 2) & (F.lit(c) > 0), smooth).otherwise(F.col("score"))).drop("_k", "_prior")
+    out = shops.select("*", k.alias("_k"), (tenths / 10.0 / k).alias("_prior"))
+    mean = F.greatest(F.lit(0.0), F.least(F.lit(5.0), (c * F.col("_prior") + n * F.col("score")) / (c + n)))
+    out = out.select("*", mean.alias("_mean"))
+    return out.select(*shops.columns, F.when(valid & (F.col("_k") >= 2) & (F.lit(c) > 0), rnd_of("_mean", 1)).otherwise(F.col("score")).alias("smoothed"))
 
 
 def adjusted(shops: DataFrame, p: Params) -> DataFrame:
     """After smoothing: the tenure bonus, then the suspect multiplier, each clamped and rounded."""
-    bounded = lambda x: rnd(F.greatest(F.lit(0.0), F.least(F.lit(5.0), x)), 1)
-    raised = F.when(~F.col("excluded") & (F.col("tenure_bonus") > 0), bounded(F.col("smoothed") + F.col("tenure_bonus"))).otherwise(F.col("smoothed"))
-    out = shops.withColumn("_raised", raised)
-    return out.withColumn("final", F.when(~F.col("excluded") & (F.col("liveness") == "suspect"), bounded(F.col("_raised") * p.suspect_multiplier)).otherwise(F.col("_raised"))).drop("_raised")
+    bounded = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(5.0), x))
+    out = shops.select("*", bounded(F.col("smoothed") + F.col("tenure_bonus")).alias("_up"))
+    out = out.select(*shops.columns, F.when(~F.col("excluded") & (F.col("tenure_bonus") > 0), rnd_of("_up", 1)).otherwise(F.col("smoothed")).alias("_raised"))
+    out = out.select("*", bounded(F.col("_raised") * p.suspect_multiplier).alias("_down"))
+    return out.select(*shops.columns, F.when(~F.col("excluded") & (F.col("liveness") == "suspect"), rnd_of("_down", 1)).otherwise(F.col("_raised")).alias("final"))
 
 
 def reasons(p: Params) -> Column:
@@ -216,7 +221,14 @@ def shop_scores(mentions: DataFrame, shops: DataFrame, p: Params) -> DataFrame:
     return adjusted(smoothed(scored(signals(eligible(mentions, shops), shops, p), p), p), p)
 
 
+def own_facts(mentions: DataFrame, shops: DataFrame) -> DataFrame:
+    """Facts of all shops that are mentioned, whatever their state, in the shops' own cities."""
+    city = shops.select("shop_id", F.col("city").alias("_city"))
+    met = mentions.where("shop_id is not null").join(city, "shop_id")
+    return met.withColumn("city", F.col("_city")).drop("_city").withColumn("shop_key", F.concat(F.lit("restaurant:"), F.col("shop_id").cast("string")))
+
+
 def single_shop_score(mentions: DataFrame, shops: DataFrame, shop_id: int, p: Params) -> DataFrame:
     """One shop's own score: no eligibility filter, no city filter, no smoothing."""
-    own = mentions.where(F.col("shop_id") == shop_id).withColumn("shop_key", F.concat(F.lit("restaurant:"), F.col("shop_id").cast("string"))).withColumn("city", F.first("city").over(Window.partitionBy("shop_id").orderBy("mid")))
-    return scored(signals(own, shops.where(F.col("shop_id") == shop_id), p), p)
+    shop = shops.where(F.col("shop_id") == shop_id)
+    return scored(signals(own_facts(mentions.where(F.col("shop_id") == shop_id), shop), shop, p), p)

@@ -6,7 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from savora.functions.text import is_open, open_ranges
+from savora.functions.time import instant
 from savora.operators.lists import moment
+from savora.operators.ranking import first_sources, top_words
+from savora.operators.scoring import own_facts, reasons, scored, signals
+from savora.params import Params
 
 #: Kinds of feedback; states of a crawl source that count as skipped.
 FEEDBACK_TYPES = ("info", "closed", "label", "other")
@@ -68,18 +73,30 @@ def code_checks(events: DataFrame, minutes: int = 10, attempts: int = 5) -> Data
     return events.select("mailbox", "event_id", "at", "kind", "code").groupBy("mailbox").applyInPandas(fold, "event_id long, ok boolean")
 
 
-def shop_detail(shops: DataFrame, scores: DataFrame, items: DataFrame, mentions: DataFrame, notices: DataFrame) -> DataFrame:
-    """A row for every shop: its place in the latest snapshot (its own live score where it has none), exclusion, mentions, dates and notice."""
-    figures = mentions.where("shop_id is not null").groupBy("shop_id").agg(
+def shop_detail(shops: DataFrame, items: DataFrame, mentions: DataFrame, notices: DataFrame, p: Params, n_sources: int = 10) -> DataFrame:
+    """A row for every shop: its place in the latest snapshot, else its own live score, which takes no account of its state; reasons, words, sources, dates, opening, notice.
+
+    Of shops, lat, lng and open_hours are optional; is_open is null where the hours can't be read.
+    """
+    aligned = mentions.where("shop_id is not null")
+    figures = aligned.groupBy("shop_id").agg(
         F.count(F.lit(1)).alias("mention_count"), F.date_format(F.max("seen_at"), "yyyy-MM-dd").alias("last_mentioned_at"), F.min_by("address_text", "mid").alias("_address"),
         F.date_format(F.coalesce(F.min("published_at"), F.min("crawled_at")), "yyyy-MM-dd").alias("first_mentioned_at"), F.min("published_at").isNotNull().alias("first_evidence_confident"),
     )
-    live = scores.where("shop_id is not null").select("shop_id", "city", F.col("score").alias("_live"), "exclude_reason")
+    scores = scored(signals(own_facts(aligned, shops), shops, p), p).select("shop_id", F.col("score").alias("_live"), "exclude_reason", reasons(p).alias("reasons"))
     placed = items.select("shop_id", "city", F.col("display_score").alias("_shown"), "rank")
-    out = shops.select("shop_id", "name", "city", "area", "address", "cuisine", "avg_price", "status", "liveness")
-    out = out.join(live, ["shop_id", "city"], "left").join(placed, ["shop_id", "city"], "left").join(figures, "shop_id", "left").join(notices.select("shop_id", F.lit(True).alias("_notice")), "shop_id", "left")
+    sources = first_sources(mentions, n_sources).groupBy("shop_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "platform", "source_url", "excerpt", "published_at"))), lambda x: x.dropFields("i")).alias("sources"))
+    more = [c for c in ("lat", "lng", "open_hours") if c in shops.columns]
+    out = shops.select("shop_id", "name", "city", "area", "address", "cuisine", "avg_price", "status", "liveness", *more)
+    for part in (scores, figures, sources, top_words(mentions, "praise"), top_words(mentions, "complaints"), notices.select("shop_id", F.lit(True).alias("_notice"))):
+        out = out.join(part, "shop_id", "left")
+    out = out.join(placed, ["shop_id", "city"], "left")
+    ranges = open_ranges(F.coalesce(F.col("open_hours"), F.lit(""))) if "open_hours" in more else None
+    opened = F.lit(None).cast("boolean") if ranges is None else F.when(F.size(ranges) > 0, is_open(ranges, instant(p.now)))
+    none = F.array().cast("array<string>")
     return out.select(
-        "shop_id", "name", "city", "area", F.coalesce(F.nullif("address", F.lit("")), "_address").alias("address"), "cuisine", "avg_price", "status", "liveness", F.coalesce("_shown", "_live", F.lit(0.0)).alias("score"), "rank", "exclude_reason",
+        "shop_id", "name", "city", "area", F.coalesce(F.nullif("address", F.lit("")), "_address").alias("address"), "cuisine", "avg_price", "status", "liveness", *more, F.coalesce("_shown", "_live", F.lit(0.0)).alias("score"), "rank", "exclude_reason",
+        F.coalesce("reasons", none).alias("reasons"), F.coalesce("praise", none).alias("praise"), F.coalesce("complaints", none).alias("complaints"), F.coalesce("sources", F.array()).alias("sources"), opened.alias("is_open"),
         F.coalesce("mention_count", F.lit(0)).alias("mention_count"), "last_mentioned_at", "first_mentioned_at", F.coalesce("first_evidence_confident", F.lit(False)).alias("first_evidence_confident"), F.coalesce("_notice", F.lit(False)).alias("notice"),
     )
 

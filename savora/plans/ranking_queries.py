@@ -9,6 +9,7 @@ from savora.functions.text import maturity
 from savora.operators import ablation, ranking, scoring
 from savora.params import TABLES as P
 from savora.plans.bindings import ROLES_SQL, mentions, shops
+from savora.sources.store import stored
 
 NOW = f"TIMESTAMP '{P.now:%Y-%m-%d %H:%M:%S}'"
 DAY_US = 86_400_000_000
@@ -121,32 +122,39 @@ RANKED = f"""{ADJUSTED}, placed AS (
 )"""
 
 
+#: Scores of all shops that are mentioned, whatever their state, as a query of its own.
+OWN_FACTS = FACTS.replace(f"{ROLES_SQL}, ", "WITH ").replace("WHERE NOT EXISTS (SELECT 1 FROM shops s WHERE s.shop_id = m.shop_id AND (status <> 'active' OR liveness = 'closed' OR is_chain))", "WHERE shop_id IS NOT NULL")
+OWN_SCORES = f"{OWN_FACTS}{SCORED.removeprefix(FACTS)}"
+
+
 def with_(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {select}"
 
 
-def facts_of(s: SparkSession, d: str) -> DataFrame:
-    return scoring.eligible(mentions(s, d), shops(s, d))
+def mentions_once(s: SparkSession, d: str) -> DataFrame:
+    """Mentions for plans that read them several times: the six tables are joined once."""
+    return stored(mentions(s, d), "mentions")
 
 
-def signals_of(s: SparkSession, d: str) -> DataFrame:
-    return scoring.signals(facts_of(s, d), shops(s, d), P)
+def signals_of(s: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
+    own = shops(s, d)
+    return scoring.signals(scoring.eligible(mentions_once(s, d) if m is None else m, own), own, P)
 
 
 def scored_of(s: SparkSession, d: str) -> DataFrame:
     return scoring.scored(signals_of(s, d), P)
 
 
-def scores_of(s: SparkSession, d: str) -> DataFrame:
-    return scoring.shop_scores(mentions(s, d), shops(s, d), P)
+def scores_of(s: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
+    return scoring.shop_scores(mentions_once(s, d) if m is None else m, shops(s, d), P)
 
 
-def items_of(s: SparkSession, d: str) -> DataFrame:
-    return ranking.rank_items(scores_of(s, d), P)
+def items_of(s: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
+    return ranking.rank_items(scores_of(s, d, m), P)
 
 
-def dated_shops(s: SparkSession, d: str) -> DataFrame:
-    last = mentions(s, d).where("shop_id is not null").groupBy("shop_id").agg(F.max("seen_at").alias("last_mentioned_at"))
+def dated_shops(s: SparkSession, d: str, m: DataFrame) -> DataFrame:
+    last = m.where("shop_id is not null").groupBy("shop_id").agg(F.max("seen_at").alias("last_mentioned_at"))
     return shops(s, d).join(last, "shop_id", "left")
 
 
@@ -167,7 +175,8 @@ def filter_page(s: SparkSession, d: str) -> DataFrame:
 
 
 def days_filter(s: SparkSession, d: str) -> DataFrame:
-    return ranking.within_days(items_of(s, d), dated_shops(s, d), 120, P).select("city", "rank", "shop_id", "name", "final")
+    m = mentions_once(s, d)
+    return ranking.within_days(items_of(s, d, m), dated_shops(s, d, m), 120, P).select("city", "rank", "shop_id", "name", "final")
 
 
 def snapshots(s: SparkSession, d: str) -> DataFrame:
@@ -184,8 +193,8 @@ SNAPSHOTS_SQL = f"""{ROLES_SQL}, months AS (SELECT DISTINCT city, date_trunc('mo
 
 
 def city_list_of(s: SparkSession, d: str) -> DataFrame:
-    cities = shops(s, d).select("city").distinct()
-    return ranking.city_list(cities, mentions(s, d).select("city", "content_id").distinct(), shops(s, d), items_of(s, d))
+    m, own = mentions_once(s, d), shops(s, d)
+    return ranking.city_list(own.select("city").distinct(), m.select("city", "content_id").distinct(), own, items_of(s, d, m))
 
 
 def variants_of(s: SparkSession, d: str) -> DataFrame:
@@ -239,7 +248,8 @@ def words_of(s: SparkSession, d: str) -> DataFrame:
 
 
 def enriched_of(s: SparkSession, d: str) -> DataFrame:
-    got = ranking.enriched(items_of(s, d), mentions(s, d))
+    m = mentions_once(s, d)
+    got = ranking.enriched(items_of(s, d, m), m)
     return got.select("city", "rank", "shop_id", "address", F.array_join("praise", "|").alias("praise"), F.array_join("complaints", "|").alias("complaints"), F.size("sources").alias("n_sources"), "last_mentioned_at")
 
 
@@ -266,7 +276,7 @@ QUERIES = {
     "hard_rule_reason": q(scored_of, "city", "shop_key", "exclude_reason", "excluded"),
     "time_decay": q(scored_of, "city", "shop_key", "time_decay"),
     "tenure_bonus": q(scored_of, "city", "shop_key", "tenure_bonus"),
-    "burst_flag": lambda s, d: scoring.bursts(facts_of(s, d), P),
+    "burst_flag": lambda s, d: scoring.bursts(scoring.eligible(mentions(s, d), shops(s, d)), P),
     "bayes_smooth": lambda s, d: scoring.smoothed(scored_of(s, d), P).select("city", "shop_key", "score", "smoothed"),
     "liveness_tenure_adjust": q(scores_of, "city", "shop_key", "smoothed", "liveness", "final"),
     "display_score": q(items_of, "city", "shop_id", "rank", "display_score"),

@@ -9,7 +9,7 @@ from savora.operators import ablation, lists, quality, ranking, service
 from savora.params import TABLES as P
 from savora.plans.analytics_queries import ALIASES_SQL, SQL as ANALYTICS_SQL, aliases
 from savora.plans.bindings import ROLES_SQL, SHOPS_SQL, mentions, shops, table
-from savora.plans.ranking_queries import RANKED, VARIANTS, items_of, scores_of, signals_of, with_
+from savora.plans.ranking_queries import OWN_SCORES, RANKED, VARIANTS, WORDS_CTE, items_of, mentions_once, reasons_sql, signals_of, with_
 
 SHOP_KEYS, CITY_KEYS = ["user_id", "shop_id"], ["user_id", "city"]
 STAMP, DUCK_STAMP = "yyyy-MM-dd HH:mm:ss", "'%Y-%m-%d %H:%M:%S'"
@@ -104,6 +104,19 @@ def text_of(column: str) -> Column:
     return F.date_format(column, STAMP).alias(column)
 
 
+#: Whether noon's hours, 10:00-22:00, hold at the fixed time (Asia/Shanghai); 22:00-10:00 hold when they don't.
+OPEN_BY_DAY = str(10 * 60 <= ((P.now.hour + 8) % 24) * 60 + P.now.minute < 22 * 60).upper()
+
+
+def shop_detail(s, d):
+    m = mentions_once(s, d)
+    hours = F.element_at(F.array(F.lit(None).cast("string"), F.lit("ask"), F.lit("10:00-22:00"), F.lit("22:00-10:00")), (F.col("shop_id") % 4 + 1).cast("int"))
+    own = shops(s, d).withColumn("open_hours", hours)
+    got = service.shop_detail(own, items_of(s, d, m), m, quality.brand_notice(m, own, P), P)
+    joined = {c: F.array_join(c, sep) for c, sep in (("reasons", "; "), ("praise", "|"), ("complaints", "|"))}
+    return got.withColumns(joined | {"n_sources": F.size("sources").cast("long")}).drop("sources", "open_hours")
+
+
 QUERIES = {
     "favourite_outcomes": lambda s, d: lists.outcomes(requests(s, d), SHOP_KEYS).select("event_id", "done"),
     "favourite_list": lambda s, d: lists.with_shop_figures(lists.holdings(requests(s, d), SHOP_KEYS), shops(s, d), mentions(s, d)).select(*SHOP_KEYS, "name", "city", "mention_count", "last_mentioned_at", text_of("since")),
@@ -119,7 +132,7 @@ QUERIES = {
     "post_checked": lambda s, d: service.post_checked(messages(s, d), shops(s, d)).select("conv_id", "turn", "reject_reason"),
     "feedback_status": lambda s, d: service.status_changes(requests(s, d).withColumn("status", F.element_at(F.array(*map(F.lit, ("pending", "handling", "resolved", "rejected", "lost"))), (F.col("k") % 5 + 1).cast("int"))), "shop_id", ("pending", "handling", "resolved", "rejected")).select("event_id", "status", "previous"),
     "code_checks": lambda s, d: service.code_checks(requests(s, d).where("action in ('add', 'visit')").select(F.col("user_id").alias("mailbox"), "event_id", "at", F.when(F.col("action") == "add", "issue").otherwise("try").alias("kind"), (F.col("k") % 3).alias("code")), minutes=14_400),
-    "shop_detail": lambda s, d: service.shop_detail(shops(s, d), scores_of(s, d), items_of(s, d), mentions(s, d), quality.brand_notice(mentions(s, d), shops(s, d), P)),
+    "shop_detail": shop_detail,
     "shop_lookup": lambda s, d: shops(s, d).where("shop_id = 77").select("shop_id", "name", "city"),
     "city_search": lambda s, d: known_cities(s, d).where(F.col("city").contains("#3")),
     "city_sort": lambda s, d: ranking.city_order(known_cities(s, d), items_of(s, d), shops(s, d)),
@@ -164,9 +177,11 @@ SQL = {
     "feedback_checked": with_(f"{SHOPS_SQL}, {MESSAGES}", f"SELECT conv_id, turn, CASE WHEN type IN {service.FEEDBACK_TYPES} THEN type ELSE 'other' END AS type, CASE WHEN {BODY} = '' THEN 'blank' WHEN length({BODY}) > 500 THEN 'too long' WHEN shop_id IS NOT NULL AND shop_id NOT IN (SELECT shop_id FROM shops) THEN 'unknown shop' END AS reject_reason, length({BODY}) AS n_chars FROM messages"),
     "post_checked": with_(f"{SHOPS_SQL}, {MESSAGES}", f"SELECT conv_id, turn, CASE WHEN {BODY} = '' THEN 'blank' WHEN length({BODY}) > 300 THEN 'too long' WHEN shop_id IS NULL OR shop_id NOT IN (SELECT shop_id FROM shops) THEN 'unknown shop' WHEN len(images) > 3 THEN 'too many images' WHEN len(list_filter(images, lambda x: NOT starts_with(x, '/uploads/'))) > 0 THEN 'bad image' END AS reject_reason FROM messages"),
     "feedback_status": with_(f"{REQUESTS}, c AS (SELECT *, (['pending', 'handling', 'resolved', 'rejected', 'lost'])[k % 5 + 1] AS status FROM requests)", "SELECT event_id, status, coalesce(lag(status) OVER (PARTITION BY shop_id ORDER BY t_at, event_id), 'pending') AS previous FROM c WHERE status <> 'lost'"),
-    "shop_detail": with_(f"{RANKED}, {NOTICES}, f AS (SELECT shop_id, count(*) AS n, strftime(max(seen_at), '%Y-%m-%d') AS last, min_by(address_text, mid) AS a, strftime(coalesce(min(published_at), min(crawled_at)), '%Y-%m-%d') AS first, min(published_at) IS NOT NULL AS sure FROM mentions WHERE shop_id IS NOT NULL GROUP BY shop_id)",
-        "SELECT s.shop_id, s.name, s.city, area, coalesce(nullif(s.address, ''), a) AS address, cuisine, s.avg_price, status, s.liveness, coalesce(i.display_score, l.score, 0.0) AS score, i.rank, l.exclude_reason, coalesce(f.n, 0) AS mention_count, f.last AS last_mentioned_at, f.first AS first_mentioned_at, coalesce(sure, FALSE) AS first_evidence_confident, s.shop_id IN (SELECT shop_id FROM notices) AS notice "
-        "FROM shops s LEFT JOIN adjusted l ON l.shop_id = s.shop_id AND l.city = s.city LEFT JOIN items i ON i.shop_id = s.shop_id AND i.city = s.city LEFT JOIN f ON f.shop_id = s.shop_id"),
+    "shop_detail": with_(
+        f"{RANKED}, {NOTICES}, {WORDS_CTE.format(c='praise')}, {WORDS_CTE.format(c='complaints')}, live AS ({OWN_SCORES} SELECT shop_id, score, exclude_reason, reasons FROM scored JOIN ({reasons_sql()}) USING (city, shop_key)), f AS (SELECT shop_id, count(*) AS n, least(count(DISTINCT content_id), 10) AS ns, strftime(max(seen_at), '%Y-%m-%d') AS last, min_by(address_text, mid) AS a, strftime(coalesce(min(published_at), min(crawled_at)), '%Y-%m-%d') AS first, min(published_at) IS NOT NULL AS sure FROM mentions WHERE shop_id IS NOT NULL GROUP BY shop_id)",
+        f"SELECT s.shop_id, s.name, s.city, area, coalesce(nullif(s.address, ''), a) AS address, cuisine, s.avg_price, status, s.liveness, coalesce(i.display_score, l.score, 0.0) AS score, i.rank, l.exclude_reason, coalesce(l.reasons, '') AS reasons, coalesce(p.words, '') AS praise, coalesce(c.words, '') AS complaints, coalesce(f.ns, 0) AS n_sources, "
+        f"CASE s.shop_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN {OPEN_BY_DAY} ELSE NOT {OPEN_BY_DAY} END AS is_open, coalesce(f.n, 0) AS mention_count, f.last AS last_mentioned_at, f.first AS first_mentioned_at, coalesce(sure, FALSE) AS first_evidence_confident, s.shop_id IN (SELECT shop_id FROM notices) AS notice "
+        "FROM shops s LEFT JOIN live l ON l.shop_id = s.shop_id LEFT JOIN items i ON i.shop_id = s.shop_id AND i.city = s.city LEFT JOIN f ON f.shop_id = s.shop_id LEFT JOIN praise_words p ON p.shop_id = s.shop_id LEFT JOIN complaints_words c ON c.shop_id = s.shop_id"),
     "shop_lookup": with_(SHOPS_SQL, "SELECT shop_id, name, city FROM shops WHERE shop_id = 77"),
     "city_search": with_(SHOPS_SQL, "SELECT DISTINCT city FROM shops WHERE contains(city, '#3')"),
     "city_sort": with_(RANKED, "SELECT c.city, r > 0 AS has_rank, r AS rank_count, n AS shop_count, row_number() OVER (ORDER BY r > 0 DESC, r DESC, n DESC, c.city) AS place FROM (SELECT city, count(*) AS n, (SELECT count(*) FROM items i WHERE i.city = shops.city) AS r FROM shops GROUP BY city) c"),

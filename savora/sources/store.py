@@ -42,6 +42,13 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/savora/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of the shared folder, for what several branches of a plan read: it is made once, and a lost executor loses nothing."""
+    path = work_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Tables by name with their columns; all have the column ``key``."""
 
