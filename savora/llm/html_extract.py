@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -54,8 +54,11 @@ WORDS_AWAY = re.compile(
 )
 WORDS_WEAK = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|trending|popular|more-?posts|social)(?=$|[\s_-])", re.I)
 WORDS_HERE = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose|markdown)(?=$|[\s_-])", re.I)
+#: Words of class that tell a layout's state, not what the element is: has-sidebar, no-comments, menu-open, ad-free.
+STATES = re.compile(r"^(?:has|no|not|with|without|is|show|hide|toggle|off)[_-]|[_-](?:free|open|opened|closed|enabled|disabled|on|off|less|active|visible|hidden)$", re.I)
 NONE, WEAK, STRONG = 0, 1, 2
 MOST_WORDS = 25
+NEARLY_ALL, MOST_OVERRULED = 0.9, 4
 #: The largest capacity of a block, and the weights of edges.
 MOST = 3.0
 NEAR, SAME_KIND = 1.5, 1.2
@@ -77,6 +80,8 @@ class Element:
     linked: bool
     in_article: bool
     number: int
+    holder: Element | None = None  # the block element it lies in, or is
+    named_away: bool = False  # its own class, id or role marks surroundings strongly
 
 
 @dataclass
@@ -97,14 +102,18 @@ def inside_article(element: Element | None) -> bool:
     return element is not None
 
 
-def _opened(name: str, source: str, parent: Element | None, number: int) -> Element:
+def _named(about: str, words: re.Pattern) -> bool:
+    return any(words.search(w) for w in about.split() if not STATES.search(w))
+
+
+def _opened(name: str, source: str, parent: Element | None, number: int, overruled: frozenset[int] = frozenset()) -> Element:
     if parent is None:
         return Element(name, None, 0, NONE, False, False, False, False, False, number)
     away, inside, here = parent.away, parent.inside, parent.here
     hidden = parent.hidden or name in HIDDEN
     content = name in ("article", "main")
     mark = STRONG if name in AWAY_ELEMENTS or (name == "header" and not parent.in_article and not content) else NONE
-    named = False
+    named = named_away = False
     if source.strip():
         a = _attributes(source)
         about = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".strip()
@@ -113,7 +122,8 @@ def _opened(name: str, source: str, parent: Element | None, number: int) -> Elem
             # the element that is the page's content may name its surroundings, as in main.has-sidebar
             own = name == "main" or (name == "article" and named and away != STRONG and not inside_article(parent))
             if not own:
-                mark = max(mark, STRONG if WORDS_AWAY.search(about) else WEAK if WORDS_WEAK.search(about) else NONE)
+                named_away = number not in overruled and _named(about, WORDS_AWAY)
+                mark = max(mark, STRONG if named_away else WEAK if _named(about, WORDS_WEAK) else NONE)
         hidden |= "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
     if mark:
         inside |= here or parent.in_article
@@ -122,7 +132,10 @@ def _opened(name: str, source: str, parent: Element | None, number: int) -> Elem
         away, here = NONE, True  # a form or the like around the whole page says nothing about its content
     elif (content or named) and away != STRONG:
         here = True
-    return Element(name, parent, parent.depth + 1, away, inside, here, hidden, parent.linked or name == "a", parent.in_article or content, number)
+    element = Element(name, parent, parent.depth + 1, away, inside, here, hidden, parent.linked or name == "a", parent.in_article or content, number, parent.holder, named_away)
+    if name in BLOCK:
+        element.holder = element
+    return element
 
 
 def _wrapped(element: Element) -> bool:
@@ -134,10 +147,43 @@ def _wrapped(element: Element) -> bool:
     return True
 
 
+def _said(block: Block) -> int:
+    """The words of a block that isn't made of links."""
+    return block.text.count(" ") + 1 if block.linked < 0.3 * len(block.text) else 0
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The visible text blocks in page order, white space collapsed."""
+    """The visible text blocks in page order, white space collapsed.
+
+    A class, id or role is evidence, not a verdict: where nearly all that a page says lies in elements that are named
+    like surroundings, the outermost one that holds most of it is read again as if it had no such name.
+    """
+    overruled: frozenset[int] = frozenset()
+    for _ in range(MOST_OVERRULED):
+        found = _parsed(html, overruled)
+        said = [(b, n) for b in found if (n := _said(b))]
+        total, marked = sum(n for _, n in said), [(b, n) for b, n in said if b.parent.away == STRONG]
+        if sum(n for _, n in marked) < NEARLY_ALL * total or not marked:
+            return found
+        held: dict[int, int] = {}
+        for b, n in marked:
+            named = None
+            element: Element | None = b.parent
+            while element is not None:
+                named, element = element.number if element.named_away else named, element.parent
+            if named is not None:
+                held[named] = held.get(named, 0) + n
+        if not held or max(held.values()) < 0.5 * total:
+            return found
+        overruled |= {max(held, key=lambda k: (held[k], -k))}
+    return _parsed(html, overruled)
+
+
+def _parsed(html: str, overruled: frozenset[int]) -> list[Block]:
     top = _opened("html", "", None, 0)
+    top.holder = top
     stack, found, current, at, number = [top], [], None, 0, 0
+    open_ = Counter()
 
     def text(piece: str) -> None:
         nonlocal current
@@ -146,8 +192,7 @@ def blocks_of(html: str) -> list[Block]:
         if current is None:
             if not piece.strip():
                 return
-            holder = next(e for e in reversed(stack) if e.name in BLOCK)
-            current = Block(holder)
+            current = Block(stack[-1].holder)
             found.append(current)
         piece = unescape(piece)
         current.pieces.append(piece)
@@ -155,8 +200,11 @@ def blocks_of(html: str) -> list[Block]:
             current.linked += len(piece.strip())
 
     def close(names: set[str], within: set[str]) -> None:
+        if not any(open_[name] for name in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
+                open_.subtract(e.name for e in stack[k:])
                 del stack[k:]
                 return
             if stack[k].name in within:
@@ -194,13 +242,14 @@ def blocks_of(html: str) -> list[Block]:
         if name in ("html", "body"):
             continue
         number += 1
-        element = _opened(name, rest, stack[-1], number)
+        element = _opened(name, rest, stack[-1], number, overruled)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
         if not rest.rstrip().endswith("/") or name in BLOCK:
             stack.append(element)
+            open_[name] += 1
     for block in found:
         block.text = " ".join("".join(block.pieces).split())
     return [b for b in found if b.text]
