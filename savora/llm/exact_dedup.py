@@ -5,7 +5,10 @@ code points, and a content locator (file and row in it). The fingerprints are a
 state, one entry for each digest, lies on disk (RocksDB), never expires, and retains the
 digest, the number of rows and the best row's identifier and locator. The map side combines
 before the shuffle, so a group with a third of all rows sends one row a task. With ``state_dir`` the
-state outlives the call: rows of a later delivery are held against all earlier ones.
+state outlives the call: rows of a later delivery are held against all earlier ones. A delivery with
+a name of its own can be given again after a failure: its texts and fingerprints count once they
+are complete and a small entry names them (fingerprints without an entry are passed over, those
+with one are not written again), and the state's changes are kept until then.
 
 Digests only find the hits: digests that the state has met more than once. For these, and only for
 these, the full bytes are fetched and compared: the smallest and the largest normalised text of the
@@ -24,7 +27,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from savora.llm.common import SPACE, located, materialize, read_table, scratch_path
@@ -36,6 +40,10 @@ STORE = {
 }
 
 
+#: A delivery's entry: where its texts and fingerprints lie. A delivery has one at most.
+ENTRY = "attempt string, texts string"
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -44,11 +52,16 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def keyed_state(spark: SparkSession, prints: DataFrame, folder: str, files_a_batch: int | None = None) -> DataFrame:
-    """Streams the fingerprints under folder that were not met yet through its keyed state: digest, size, best (a struct; the least rank wins) of all digests met in this call."""
-    out = scratch_path(spark, "dedup-state")
+def keyed_state(spark: SparkSession, prints: DataFrame, folder: str, files_a_batch: int | None = None, lasting: bool = False) -> DataFrame:
+    """Streams the fingerprints under folder that were not met yet through its keyed state: digest, size, best (a struct; the least rank wins) of all digests met in this call.
+
+    lasting: of all digests met so far; only fingerprints of deliveries that have an entry count.
+    """
+    out = f"{folder}/states" if lasting else scratch_path(spark, "dedup-state")
     reader = spark.readStream.schema(prints.schema).option("recursiveFileLookup", "true")
     stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(f"{folder}/prints")
+    if lasting:
+        stream = stream.join(spark.read.schema(ENTRY).parquet(f"{folder}/deliveries/*").select("attempt"), "attempt")
     state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min("rank").alias("best"))
 
     def save(changed: DataFrame, batch: int) -> None:  # a batch that is repeated replaces its own output
@@ -70,31 +83,47 @@ def keyed_state(spark: SparkSession, prints: DataFrame, folder: str, files_a_bat
     return saved.groupBy("digest").agg(F.max_by(F.struct("size", "best"), "batch").alias("last")).select("digest", "last.size", "last.best")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, stored: bool = False, state_dir: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, stored: bool = False, state_dir: str | None = None, delivery: str | None = None) -> DataFrame:
     """For every row: id_col, keep_id, group_size, kept, text_sha256; stored as in common.located.
 
     state_dir: a folder for the state, in storage that all executors share, given again with the next delivery.
+    delivery: its name, given again when the call is tried again; each call without one is a delivery of its own.
     """
-    return _decided(_placed(docs, [id_col, text_col], stored, state_dir), digest, state_dir).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+    name = delivery or uuid.uuid4().hex
+    return _decided(_placed(docs, [id_col, text_col], stored, state_dir, name), digest, state_dir, name).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, state_dir: str | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, state_dir: str | None = None, delivery: str | None = None) -> DataFrame:
     """docs without the rows that exact_dedup drops; stored as in common.located."""
+    delivery = delivery or uuid.uuid4().hex
     names = [id_col, text_col, *[x for x in docs.columns if x not in (id_col, text_col)]]
-    rows = _placed(docs, names, stored, state_dir)
-    kept = _decided(rows, sha256, state_dir).where("kept").select("at")
+    rows = _placed(docs, names, stored, state_dir, delivery)
+    kept = _decided(rows, sha256, state_dir, delivery).where("kept").select("at")
     c = {name: f"_c{k}" for k, name in enumerate(names)}
     return rows.join(kept, rows["_at"] == kept["at"], "left_semi").select(*[F.col(c[name]).alias(name) for name in docs.columns])
 
 
-def _placed(docs: DataFrame, names: list[str], stored: bool, state_dir: str | None) -> DataFrame:
+def _entry(spark: SparkSession, state_dir: str, delivery: str) -> Row | None:
+    try:
+        return spark.read.schema(ENTRY).parquet(f"{state_dir}/deliveries/{delivery}").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _placed(docs: DataFrame, names: list[str], stored: bool, state_dir: str | None, delivery: str) -> DataFrame:
     """The columns named as _c0 (id), _c1 (text) ..., with _at; under a lasting state they are kept where locators can point to."""
     if state_dir is None:
         return located(docs, names, stored)
-    path = f"{state_dir}/texts/{uuid.uuid4().hex}"
     chosen = docs.select(*[F.col(f"`{name}`").alias(f"_c{k}") for k, name in enumerate(names)])
-    chosen.write.parquet(path)
-    return located(docs.sparkSession.read.schema(chosen.schema).parquet(path), chosen.columns, stored=True)
+    known = _entry(docs.sparkSession, state_dir, delivery)
+    path = known["texts"] if known else f"{state_dir}/texts/{uuid.uuid4().hex}"
+    if not known:
+        chosen.write.parquet(path)
+    rows = located(docs.sparkSession.read.schema(chosen.schema).parquet(path), chosen.columns, stored=True)
+    rows._texts = path
+    return rows
 
 
 def _keyed(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
@@ -113,15 +142,32 @@ def _retained(spark: SparkSession, best: DataFrame) -> DataFrame | None:
     return best.select("digest", F.col("best.at").alias("at")).join(old, "at").select("digest", "body")
 
 
-def _decided(rows: DataFrame, digest: Callable[[Column], Column], state_dir: str | None = None) -> DataFrame:
+def _printed(rows: DataFrame, printed: DataFrame, state_dir: str, delivery: str) -> DataFrame:
+    """The delivery's fingerprints, written and entered unless an earlier try has done so."""
+    spark, known = rows.sparkSession, _entry(rows.sparkSession, state_dir, delivery)
+    attempt = known["attempt"] if known else uuid.uuid4().hex
+    path = f"{state_dir}/prints/{attempt}"
+    wide = printed.withColumn("attempt", F.lit(attempt))
+    if not known:
+        wide.write.parquet(path)
+        spark.createDataFrame([(attempt, vars(rows)["_texts"])], ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/deliveries/{delivery}")
+    return spark.read.schema(wide.schema).parquet(path)
+
+
+def _decided(rows: DataFrame, digest: Callable[[Column], Column], state_dir: str | None = None, delivery: str = "") -> DataFrame:
     spark = rows.sparkSession
     folder = state_dir or scratch_path(spark, "dedup")
     keyed = _keyed(rows, digest)
     printed = keyed.select("digest", "rank", *([] if digest is sha256 else ["sha"]))
-    path = f"{folder}/prints/{uuid.uuid4().hex}"
-    printed.write.parquet(path)
-    prints = spark.read.schema(printed.schema).parquet(path)
-    state = materialize(keyed_state(spark, prints, folder), "dedup-decided")
+    if state_dir:
+        prints = _printed(rows, printed, state_dir, delivery)
+        state = keyed_state(spark, prints, folder, lasting=True).join(prints.select("digest").distinct(), "digest", "left_semi")
+    else:
+        path = f"{folder}/prints/{uuid.uuid4().hex}"
+        printed.write.parquet(path)
+        prints = spark.read.schema(printed.schema).parquet(path)
+        state = keyed_state(spark, prints, folder)
+    state = materialize(state, "dedup-decided")
     sha = F.col("digest") if digest is sha256 else F.col("sha")
 
     def decided(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """State that outlives a call: a second delivery is held against the first."""
 
+import pytest
+
 from savora.llm import exact_dedup
 
 
@@ -24,3 +26,33 @@ def test_several_batches(spark, tmp_path):
     prints.write.parquet(f"{tmp_path}/prints")
     got = {r.digest: (r["size"], r.best) for r in exact_dedup.keyed_state(spark, prints, f"file://{tmp_path}", files_a_batch=1).collect()}
     assert got == {"d0": (10, 0), "d1": (10, 1), "d2": (10, 2)}
+
+
+@pytest.mark.parametrize("step", ["prints", "entry", "stream", "after"])
+def test_a_failed_delivery_is_tried_again(spark, tmp_path, monkeypatch, step):
+    at = f"file://{tmp_path}/state"
+    before = spark.createDataFrame([(50, "ab"), (51, "z")], "doc_id long, text string")
+    exact_dedup.exact_dedup(before, state_dir=at, delivery="one").collect()
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["a b", "ab", "c", "c", "d", "e", "f", "f", "g  ", "z"])], "doc_id long, text string").repartition(3)
+    fails = [True]
+
+    def breaking(real, first):
+        def run(*args, **kwargs):
+            if fails and first:
+                fails.pop()
+                raise OSError("lost")
+            out = real(*args, **kwargs)
+            if fails:
+                fails.pop()
+                raise OSError("lost")
+            return out
+
+        return run
+
+    name = {"prints": "_printed", "entry": "_printed", "stream": "keyed_state", "after": "keyed_state"}[step]
+    monkeypatch.setattr(exact_dedup, name, breaking(getattr(exact_dedup, name), step in ("prints", "stream")))
+    with pytest.raises(OSError):
+        exact_dedup.exact_dedup(rows, state_dir=at, delivery="two").collect()
+    for _ in range(2):  # again, and once more after it was done
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows, state_dir=at, delivery="two").collect()}
+        assert got == {0: (0, 3, True), 1: (0, 3, False), 2: (2, 2, True), 3: (2, 2, False), 4: (4, 1, True), 5: (5, 1, True), 6: (6, 2, True), 7: (6, 2, False), 8: (8, 1, True), 9: (9, 2, True)}
