@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from savora.operators import alerts
 from savora.plans.analytics_queries import LIMIT_MINUTES, LIMIT_MOST, RATE_LIMIT_SQL
 from savora.plans.bindings import TRACKS_SQL, tracks
 from savora.plans.ranking_queries import with_
@@ -55,10 +57,33 @@ def limited_views(s, d):
     return through(s, d, states.SlidingLimit(LIMIT_MINUTES, LIMIT_MOST)).select(F.col("key").alias("user_id"), "event_id", (F.col("what") == "accepted").alias("accepted"))
 
 
+BOUNDS = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, float("inf"))
+HOURS = 60
+
+
+def hourly(s, d):
+    """A counter of each kind of event, read every hour; it starts again at midnight."""
+    hours = tracks(s, d).groupBy(F.col("action").alias("series"), F.date_trunc("hour", "created_at").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.withColumn("value", F.sum("n").over(Window.partitionBy("series", F.to_date("at")).orderBy("at")))
+
+
+def alert_increase(s, d):
+    rows = alerts.held(alerts.increases(hourly(s, d), ["series"], 6 * HOURS), ["series"], F.col("increase") >= 16, 2 * HOURS)
+    return rows.select("series", F.date_format("at", "yyyy-MM-dd HH").alias("hour"), "increase", "state")
+
+
+def alert_quantile(s, d):
+    """The 95th percentile of each day's values, as a histogram tells it."""
+    each = tracks(s, d).select(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "value")
+    buckets = each.groupBy("day").agg(*[F.count_if(F.col("value") <= b).alias(f"b{k}") for k, b in enumerate(BOUNDS)])
+    rows = buckets.select("day", F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(BOUNDS)])).alias("b")).select("day", "b.*")
+    return alerts.quantile(rows, ["day"], 0.95).withColumn("quantile", F.round("quantile", 6))
+
+
 #: e: a user's events by n, with t in micros; one step of the recursion for each.
 EVENTS_SQL = "e AS (SELECT CAST(user_id AS VARCHAR) AS k, event_id, epoch_us(ts) AS t, event_type, value, json_extract_string(props, '$.k') AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 
-QUERIES = {"events_daily_window": daily, "events_sliding_count": sliding, "login_throttle": login_throttle, "breaker_runs": breaker_runs, "code_lifecycle": code_lifecycle, "limited_views": limited_views}
+QUERIES = {"events_daily_window": daily, "events_sliding_count": sliding, "login_throttle": login_throttle, "breaker_runs": breaker_runs, "code_lifecycle": code_lifecycle, "limited_views": limited_views, "alert_increase": alert_increase, "alert_quantile": alert_quantile}
 SQL = {
     "events_daily_window": with_(TRACKS_SQL, "SELECT strftime(created_at, '%Y-%m-%d') AS day, action, count(*) AS n FROM tracks GROUP BY ALL"),
     "events_sliding_count": with_(TRACKS_SQL, "SELECT strftime(date_trunc('hour', created_at) + to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M') AS upto, count(*) AS n FROM tracks, range(1, 25) r(h) GROUP BY 1"),
@@ -96,4 +121,20 @@ SQL = {
         SELECT k AS key, event_id, what FROM w WHERE n > 0""",
         recursive=True,
     ),
+    "alert_increase": with_(
+        TRACKS_SQL,
+        """, h AS (SELECT action AS series, date_trunc('hour', created_at) AS ts, count(*) AS n FROM tracks GROUP BY ALL
+        ), c AS (SELECT *, sum(n) OVER (PARTITION BY series, CAST(ts AS DATE) ORDER BY ts) AS value FROM h
+        ), s AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS b FROM c
+        ), i AS (SELECT *, CAST(sum(CASE WHEN b IS NULL THEN 0 WHEN value < b THEN value ELSE value - b END) OVER (PARTITION BY series ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS increase FROM s
+        ), g AS (SELECT *, count(*) FILTER (WHERE increase < 16) OVER (PARTITION BY series ORDER BY ts) AS island FROM i
+        ), f AS (SELECT *, min(ts) FILTER (WHERE increase >= 16) OVER (PARTITION BY series, island ORDER BY ts) AS since FROM g)
+        SELECT series, strftime(ts, '%Y-%m-%d %H') AS hour, increase, CASE WHEN increase < 16 THEN 'inactive' WHEN epoch_us(ts) - epoch_us(since) >= 7200000000 THEN 'firing' ELSE 'pending' END AS state FROM f""",
+    ),
+    "alert_quantile": with_(
+        TRACKS_SQL,
+        f""", b AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, le, count(*) FILTER (WHERE value <= le) AS n FROM tracks, (SELECT unnest([{", ".join("'inf'::DOUBLE" if b == float("inf") else repr(b) + "::DOUBLE" for b in BOUNDS)}]) AS le) GROUP BY ALL
+        ), p AS (SELECT *, lag(le) OVER w AS low, coalesce(lag(n) OVER w, 0) AS under, max(n) OVER (PARTITION BY day) AS total FROM b WINDOW w AS (PARTITION BY day ORDER BY le))
+        SELECT day, round(min_by(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0.0) + (le - coalesce(low, 0.0)) * (0.95 * total - under) / (n - under) END, le) FILTER (WHERE n >= 0.95 * total), 6) AS quantile FROM p GROUP BY day""",
+    ),
 }

@@ -51,15 +51,3 @@ def liveness(history: DataFrame, p: Params) -> DataFrame:
         yield pd.DataFrame({"key": [key[0]], "miss_count": [misses], "liveness": [now]})
 
     return history.groupBy("key").applyInPandasWithState(fold, "key long, miss_count long, liveness string", "misses long, now string", "update", GroupStateTimeout.NoTimeout)
-
-
-def firing(samples: DataFrame, threshold: float, minutes: int) -> DataFrame:
-    """Alert rules: samples (rule, at, value) whose rule has been above the threshold without a break for the minutes."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("rule").orderBy("at")
-    quiet = F.max(F.when(F.col("value") <= threshold, F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    island = samples.withColumn("_quiet", quiet)
-    since = F.min(F.when(F.col("value") > threshold, F.col("at"))).over(Window.partitionBy("rule", "_quiet").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = (F.unix_micros("at") - F.unix_micros(since)) >= minutes * 60_000_000
-    return island.withColumn("firing", F.coalesce((F.col("value") > threshold) & held, F.lit(False))).drop("_quiet")
