@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from savora.plans.bindings import table
-from savora.sources import captured, html
+from savora.sources import captured, html, robots
 from savora.sources.store import work_path
 
 PAGE, MARK = 8, datetime(1995, 6, 1)
@@ -69,7 +69,22 @@ def crawl_details(s, d):
     return html.details(lists, pages).select("list_url", F.col("place").cast("long").alias("place"), "source_url", "raw_text", "raw_title")
 
 
-QUERIES = {"captured_search": captured_search, "captured_feeds": captured_feeds, "crawl_details": crawl_details}
+AGENT = "savora/1.0"
+
+
+def robots_files(s, d):
+    """A robots.txt for each host of the pages, in one of five forms by the length of its name."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    forms = ["User-agent: *\nDisallow: /en # all\nAllow: /", "User-agent: other\nDisallow: /\n\nUser-agent: Savora\nUser-agent: x\nAllow: /en\nDisallow: /", "Disallow: /\nUser-agent: *\n\nDisallow: /", "User-agent: *\nDisallow: /de\n\nuser-agent: savora\ndisallow:", "User-agent: *\nCrawl-delay: 2\nDisallow: /fr\nDisallow: /en/"]
+    return table(s, d, "pages").select(host.alias("host")).where("host <> ''").distinct().withColumn("text", F.element_at(F.array(*map(F.lit, forms)), (F.char_length("host") % 5 + 1).cast("int")))
+
+
+def robots_parsed(s, d):
+    return robots.allowed(table(s, d, "pages").select("page_id", "url"), robots_files(s, d), AGENT).select("page_id", "allowed")
+
+
+QUERIES = {
+    "robots_parsed": robots_parsed,"captured_search": captured_search, "captured_feeds": captured_feeds, "crawl_details": crawl_details}
 SQL = {
     "captured_search": f"""WITH k AS (SELECT p_partkey, p_name, p_brand AS city, p_size, unnest([p_type, 'size ' || CAST(p_size % 3 AS VARCHAR)]) AS keyword FROM part
       ), a AS (SELECT *, (row_number() OVER (PARTITION BY city, keyword ORDER BY p_partkey) - 1) AS pos FROM k
@@ -86,4 +101,7 @@ SQL = {
       SELECT site || '/list' AS list_url, place, p.url AS source_url, substr(text, 1, 6000) AS raw_text,
         nullif(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS raw_title
       FROM p JOIN pages q ON q.url = p.url JOIN t ON t.page_id = q.page_id WHERE text <> ''""",
+    # what the five forms say for the agent, by reading them
+    "robots_parsed": """WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS p FROM pages), v AS (SELECT *, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS path FROM u)
+      SELECT page_id, CASE WHEN coalesce(host, '') = '' THEN FALSE ELSE CASE length(host) % 5 WHEN 0 THEN NOT starts_with(path, '/en') WHEN 1 THEN starts_with(path, '/en') WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE NOT (starts_with(path, '/fr') OR starts_with(path, '/en/')) END END AS allowed FROM v""",
 }
