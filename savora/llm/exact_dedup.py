@@ -40,6 +40,8 @@ STORE = {
 }
 
 
+#: Bitmaps of hits: how many, and the bits of each (Spark's own size).
+MAPS, MAP_BITS = 2048, 32768
 #: A delivery's entry: where its texts and fingerprints lie. A delivery has one at most.
 ENTRY = "attempt string, texts string"
 
@@ -133,6 +135,19 @@ def _keyed(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return keyed.withColumn("rank", F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("at").alias("at")))
 
 
+def _marked(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows whose digest may be a hit, by bitmaps of the hits' hashes, so that other texts aren't shuffled.
+
+    There are ``MAPS`` bitmaps of 4 KB at most, so what is broadcast is bounded by 8 MB; with more hits than they can
+    tell apart more rows pass, and the join that follows sorts them out.
+    """
+    place = F.pmod(F.xxhash64("digest"), F.lit(MAPS * MAP_BITS))
+    number, bit = F.floor(place / MAP_BITS).cast("int"), F.pmod(place, F.lit(MAP_BITS))
+    maps = hits.select(number.alias("map"), bit.alias("bit")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (number == F.col("map")) & (F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))) % 2 == 1), "left_semi")
+
+
 def _retained(spark: SparkSession, best: DataFrame) -> DataFrame | None:
     """digest, body of retained rows that earlier deliveries hold, fetched by their locators."""
     files = [r.file for r in best.select("best.at.file").distinct().collect()]  # files, not rows
@@ -178,7 +193,7 @@ def _decided(rows: DataFrame, digest: Callable[[Column], Column], state_dir: str
 
     # the bytes behind the hits; where two texts meet in one digest, the text itself is the key
     hits = materialize(state.where("size > 1").select("digest"), "dedup-hits")
-    bodies = keyed.select("digest", "body").join(hits, "digest", "left_semi")
+    bodies = _marked(keyed.select("digest", "body"), hits).join(hits, "digest", "left_semi")
     if state_dir:
         here = prints.select(F.col("rank.at").alias("at"))
         before = _retained(spark, state.where("size > 1").join(here, F.col("best.at") == F.col("at"), "left_anti"))

@@ -56,3 +56,11 @@ def test_a_failed_delivery_is_tried_again(spark, tmp_path, monkeypatch, step):
     for _ in range(2):  # again, and once more after it was done
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows, state_dir=at, delivery="two").collect()}
         assert got == {0: (0, 3, True), 1: (0, 3, False), 2: (2, 2, True), 3: (2, 2, False), 4: (4, 1, True), 5: (5, 1, True), 6: (6, 2, True), 7: (6, 2, False), 8: (8, 1, True), 9: (9, 2, True)}
+
+
+def test_bitmaps_pass_all_hits_and_few_others(spark):
+    rows = spark.range(40_000).selectExpr("sha2(CAST(id AS STRING), 256) AS digest", "id AS body")
+    hits = rows.where("body % 9 = 0").select("digest")
+    got = {r.body for r in exact_dedup._marked(rows, hits).collect()}
+    assert {k for k in range(40_000) if k % 9 == 0} <= got and len(got) < 40_000 / 9 + 200
+    assert exact_dedup._marked(rows, hits.limit(0)).count() == 0
