@@ -163,6 +163,18 @@ def robots_rules(s: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
+    "code_checks": with_(
+        REQUESTS,
+        """, e AS (SELECT user_id AS m, event_id, epoch_us(t_at) AS t, action = 'add' AS issue, k % 3 AS code, row_number() OVER (PARTITION BY user_id ORDER BY t_at, event_id) AS n FROM requests WHERE action IN ('add', 'visit')
+        ), w AS (SELECT DISTINCT m, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([] AS STRUCT(c BIGINT, until BIGINT, f INTEGER)[]) AS codes, TRUE AS issue, FALSE AS ok FROM e
+        UNION ALL SELECT m, n, event_id, CASE WHEN issue THEN list_append(open, {'c': code, 'until': t + 864000000000, 'f': 0}) WHEN pos > 0 THEN open[:pos - 1] || open[pos + 1:] WHEN len(open) = 0 THEN open
+            WHEN open[-1].f + 1 >= 5 THEN open[:-2] ELSE list_append(open[:-2], {'c': open[-1].c, 'until': open[-1].until, 'f': open[-1].f + 1}) END, issue, pos > 0 AND NOT issue AND open[pos].f < 5 FROM (
+          SELECT *, CASE WHEN list_contains(names, code) THEN len(open) - list_position(list_reverse(names), code) + 1 ELSE 0 END AS pos FROM (
+            SELECT *, list_transform(open, lambda c: c.c) AS names FROM (
+              SELECT e.m, e.n, e.event_id, e.t, e.issue, e.code, list_filter(w.codes, lambda c: c.until > e.t) AS open FROM w JOIN e ON e.m IS NOT DISTINCT FROM w.m AND e.n = w.n + 1))))
+        SELECT event_id, coalesce(ok, FALSE) AS ok FROM w WHERE n > 0 AND NOT issue""",
+        recursive=True,
+    ),
     "favourite_outcomes": with_(REQUESTS, f"SELECT event_id, done FROM ({outcomes_sql('user_id, shop_id')})"),
     "favourite_list": with_(f"{ROLES_SQL}, {REQUESTS}, {held_sql('user_id, shop_id')}, g AS (SELECT shop_id, count(*) AS n, strftime(max(crawled_at), '%Y-%m-%d') AS last FROM mentions WHERE shop_id IS NOT NULL GROUP BY shop_id)",
         f"SELECT user_id, shop_id, name, city, coalesce(n, 0) AS mention_count, last AS last_mentioned_at, strftime(since, {DUCK_STAMP}) AS since FROM held JOIN shops USING (shop_id) LEFT JOIN g USING (shop_id)"),
