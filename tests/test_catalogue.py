@@ -10,7 +10,7 @@ from savora.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = "shop_signals display_score rank_days_filter city_list_full_outer track_daily_uv admin_overview jobs_by_day crawl_gauges liveness_replay duplicate_pairs_jaccard exact_align recommend_hot is_open_at language_gate content_dedup_hash events_sliding_count html_text html_links favourite_list trip_list pack_list shop_detail crawl_totals poi_rounds feedback_checked post_checked city_sort usage_deltas visit_sessions alias_added robots_gate display_fields alert_text".split()
+QUICK = "shop_signals display_score rank_days_filter city_list_full_outer track_daily_uv admin_overview jobs_by_day crawl_gauges liveness_replay duplicate_pairs_jaccard exact_align recommend_hot is_open_at language_gate content_dedup_hash events_sliding_count html_text html_links favourite_list trip_list pack_list shop_detail crawl_totals poi_rounds feedback_checked post_checked city_sort usage_deltas visit_sessions alias_added robots_gate display_fields alert_text rank_city_topn rank_enriched poi_upserts ingest_upserts captured_search captured_feeds crawl_details robots_parsed alert_increase alert_quantile code_checks code_lifecycle login_throttle".split()
 
 
 @pytest.fixture(scope="module")
