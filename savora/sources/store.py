@@ -27,12 +27,11 @@ LOG = "n long, writer string, batch long, tab string, bucket int, folder string"
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of the session; where none is set and all runs on one machine (tests), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="savora-")
-        spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at
