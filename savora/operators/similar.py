@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from savora.functions.text import name_similarity
 
 CONTAINED = 0.9
+BUNDLE = 256
 
 
 def members(name: Column) -> Column:
@@ -71,3 +72,16 @@ def similar_names(left: DataFrame, right: DataFrame, block: list[str], name: str
     """block, a, b, similarity: all pairs of distinct names of one block, from the left and from the right, of at least ``least`` (above 0)."""
     pairs = candidates(_sides(left, right, block, name), block, least)
     return pairs.withColumn("similarity", name_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
+
+
+def bundled(rows: DataFrame, key: list[str], value: Column, size: int = BUNDLE) -> DataFrame:
+    """key and bundle: a group's values in arrays of about ``size``, as many as it takes. Null keys are left out."""
+    n = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64(value), F.ceil(F.col("_n") / size))
+    return rows.join(n, key).groupBy(*key, part.alias("_part")).agg(F.collect_list(value).alias("bundle")).drop("_part")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that become many, dealt to all cores: their number and size tell nothing of the work, so adaptive plans would join them into a few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
