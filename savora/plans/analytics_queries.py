@@ -176,7 +176,7 @@ QUERIES = {
     "alias_conflicts": lambda s, d: quality.alias_conflicts(aliases(s, d), shops(s, d)),
     "duplicate_pairs_jaccard": lambda s, d: quality.duplicate_pairs_by_address(shops(s, d), 0.5),
     "duplicate_pairs_composite": lambda s, d: quality.duplicate_pairs_composite(shops(s, d), P),
-    "duplicate_rate": lambda s, d: quality.duplicate_rate(quality.duplicate_pairs_by_address(shops(s, d), 0.99), shops(s, d)),
+    "duplicate_rate": lambda s, d: quality.duplicate_rate(quality.duplicates_by_address(shops(s, d), 0.99), shops(s, d)),
     "name_group_verdicts": lambda s, d: quality.group_verdicts(shops(s, d)),
     "field_completeness": lambda s, d: quality.completeness(mentions(s, d)),
     "influencer_intrusion": lambda s, d: quality.influencer_intrusion(items_of(s, d), mentions(s, d), ("viral",)),

@@ -46,3 +46,14 @@ def hot(spark, n):
 def test_a_hot_name_is_not_paired(spark):
     n = 3_000_000  # 4.5 * 10^12 pairs
     assert [tuple(r) for r in quality.group_verdicts(hot(spark, n)).collect()] == [("c", "ring", n * (n - 1) // 2, "same")]
+
+
+def test_duplicates_are_counted_without_pairs(spark, rows):
+    frame = spark.createDataFrame(rows, SHOPS)
+    want = {}
+    for a, b in pairs(rows, (1, 2)):
+        if (overlap(a[4], b[4]) or 0) >= 0.5:
+            want[a[1]] = want.get(a[1], 0) + 1
+    assert {r.city: r.pairs for r in quality.duplicates_by_address(frame, 0.5).collect()} == want
+    n = 3_000_000
+    assert [tuple(r) for r in quality.duplicate_rate(quality.duplicates_by_address(hot(spark, n), 0.99), hot(spark, n)).where("city is not null").select("pairs", "shops").collect()] == [(n * (n - 1) // 2, n)]
