@@ -149,14 +149,25 @@ def shop_norm(name: Column, p: Params) -> Column:
     """A shop name as a key: brackets and separators go, then one prefix and one suffix, never to nothing."""
     raw = F.coalesce(name, F.lit(""))
     text = F.regexp_replace(simplified(F.regexp_replace(raw, BRACKETED, "")), r"(?U)[\s·・]+" if p.name_spaces_go else r"[·・]+", "")
-    after = text
-    for prefix in reversed(p.name_prefixes):
-        after = F.when(F.startswith(text, F.lit(prefix)) & (F.char_length(text) > len(prefix)), F.substring(text, len(prefix) + 1, 1 << 30)).otherwise(after)
-    done = after
-    for suffix in reversed(p.name_suffixes):
-        cut = F.char_length(after) - len(suffix)
-        done = F.when(F.endswith(after, F.lit(suffix)) & (cut > 0), F.substring(after, F.lit(1), cut.cast("int"))).otherwise(done)
-    return F.when(done != "", done).otherwise(strip(raw))
+
+    def unprefixed(text: Column) -> Column:
+        out = text
+        for prefix in reversed(p.name_prefixes):
+            out = F.when(F.startswith(text, F.lit(prefix)) & (F.char_length(text) > len(prefix)), F.substring(text, len(prefix) + 1, 1 << 30)).otherwise(out)
+        return out
+
+    def unsuffixed(text: Column) -> Column:
+        out = text
+        for suffix in reversed(p.name_suffixes):
+            cut = F.char_length(text) - len(suffix)
+            out = F.when(F.endswith(text, F.lit(suffix)) & (cut > 0), F.substring(text, F.lit(1), cut.cast("int"))).otherwise(out)
+        return out
+
+    # a lambda's argument is bound once: each step runs once a name, not once for every use by the next ones
+    steps = F.array(text)
+    for step in (unprefixed, unsuffixed):
+        steps = F.transform(steps, step)
+    return F.coalesce(F.nullif(F.element_at(steps, 1), F.lit("")), strip(raw))
 
 
 def brand_stem(norm: Column, p: Params) -> Column:

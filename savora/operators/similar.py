@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savora.functions.text import name_similarity
+from savora.sources.store import stored
 
 CONTAINED = 0.9
 BUNDLE = 256
@@ -70,7 +71,8 @@ def _contained(names: DataFrame, block: list[str]) -> DataFrame:
 
 def similar_names(left: DataFrame, right: DataFrame, block: list[str], name: str, least: float) -> DataFrame:
     """block, a, b, similarity: all pairs of distinct names of one block, from the left and from the right, of at least ``least`` (above 0)."""
-    pairs = candidates(_sides(left, right, block, name), block, least)
+    names = stored(_sides(left, right, block, name), "names")  # once; else what is derived from a name is pushed below the grouping, to every row
+    pairs = candidates(names, block, least)
     return pairs.withColumn("similarity", name_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
 
 

@@ -70,3 +70,17 @@ def test_a_hot_address_is_expanded_by_several_tasks(spark):
     found = quality.duplicate_pairs_by_address(hot(spark, n), 0.5)
     tasks = found.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == n * (n - 1) // 2 and len(tasks) > 8 and max(r["count"] for r in tasks) < n * n / 8
+
+
+def test_composite_pairs_equal_all_pairs_and_are_spread(spark, rows):
+    want = set()
+    for a, b in pairs(rows, (1,)):
+        name, place = similarity(a[3], b[3]), overlap(a[4], b[4])
+        score = name if place is None else P.name_weight * name + P.address_weight * place
+        if score >= 0.85 - 1e-12:
+            want.add((a[1], a[0], b[0], round(score, 9)))
+    got = [(r.city, r.a, r.b, round(r.similarity, 9)) for r in quality.duplicate_pairs_composite(spark.createDataFrame(rows, SHOPS), P).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    n = 2000
+    tasks = quality.duplicate_pairs_composite(hot(spark, n), P).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == n * (n - 1) // 2 and len(tasks) > 8 and max(r["count"] for r in tasks) < n * n / 8
