@@ -12,6 +12,7 @@ from savora.operators import analytics, liveness, quality, recommend, resolve, s
 from savora.params import TABLES as P
 from savora.plans.bindings import ROLES_SQL, SHOPS_SQL, TRACKS_SQL, mentions, shops, table, tracks, unresolved
 from savora.plans.ranking_queries import FACTS, RANKED, items_of, with_, with_cuisine
+from savora.sources.store import stored
 
 LAST = datetime(2024, 1, 30)
 NOW = datetime(2024, 1, 31)
@@ -143,7 +144,7 @@ RATE_LIMIT_SQL = f"""WITH RECURSIVE e AS (
 
 
 def fuzzy_align(s: SparkSession, d: str) -> DataFrame:
-    names = unresolved(s, d).select("mid", "city", "name_norm", "address_text").distinct()
+    names = stored(unresolved(s, d).select("mid", "city", "name_norm", "address_text").distinct(), "unresolved")
     return resolve.decisions(resolve.fuzzy_matches(names, shops(s, d), P), P, names)
 
 
