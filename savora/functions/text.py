@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,15 +39,28 @@ CURRENCY = (
     (r"(?U)(?:RMB|rmb)\s*(\d+(?:\.\d+)?)", "$1 元"),
     (r"(?U)(\d+(?:\.\d+)?)\s*(?:块钱|块|人民币|RMB|rmb|元)", "$1 元"),
 )
+#: What a text must hold for a pattern to match at all: one of these; None: a character beyond ASCII. Other texts pass unread.
+NEEDED: dict[str, tuple[str, ...] | None] = dict(zip((p for p, _ in (*DENOISE, *TIDY, *CURRENCY)), (
+    ("<",), ("<",), ("://", "ww", "wW", "Ww", "WW"), ("全文", "原文"), ("全文",), ("扫码",), ("关注",), None, ("\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\ufeff"),
+    ("  ", " \t", "\t ", "\t\t"), None, tuple("，。！？；：、）】」』"), ("\n\n\n",),
+    ("￥", "¥"), ("RMB", "rmb"), ("块", "人民币", "RMB", "rmb", "元"),
+), strict=True))
 BRACKETED = r"[（(【\[][^）)】\]]*[）)】\]]"
 ADDRESS_SPLIT = r"(?U)[\s,，。.、;；:：/\\\-—()（）【】\[\]]+"
 SENTENCE = r"[^。！？!?；;\n]+[。！？!?；;]?"
 OPEN_RANGE = r"(\d{1,2})[:：](\d{2})\s*[-–—~至]\s*(\d{1,2})[:：](\d{2})"
 
 
+def where_needed(text: Column, change: Callable[[Column], Column], needed: tuple[str, ...] | None) -> Column:
+    """change(text) where the text holds one of the needed strings (None: a character beyond ASCII), else the text; the text is bound once."""
+    holds = (lambda t: F.octet_length(t) > F.char_length(t)) if needed is None else (lambda t: contains_any(t, needed))
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(holds(t), change(t)).otherwise(t)), 1)
+
+
 def replaced(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
     for pattern, to in steps:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
+        change = lambda t, pattern=pattern, to=to: F.regexp_replace(t, F.lit(pattern), F.lit(to))
+        text = where_needed(text, change, NEEDED[pattern]) if pattern in NEEDED else change(text)
     return text
 
 
@@ -80,7 +93,7 @@ def simplified(text: Column, pairs: tuple[str, str] | None = None) -> Column:
 
 
 def denoise(text: Column) -> Column:
-    return replaced(to_half_width(replaced(text, DENOISE)), TIDY)
+    return replaced(where_needed(replaced(text, DENOISE), to_half_width, None), TIDY)
 
 
 def currency(text: Column) -> Column:
@@ -116,7 +129,7 @@ def count_hits(text: Column, words: Sequence[str]) -> Column:
 
 def cleaned(raw: Column, p: Params) -> Column:
     """struct: text, in_script, low_trust, ad_hits."""
-    text = F.when(strip(raw) != "", strip(F.regexp_replace(currency(simplified(denoise(raw))), r"[ \t]+\n", "\n"))).otherwise("")
+    text = F.when(strip(raw) != "", strip(where_needed(currency(simplified(denoise(raw))), lambda t: F.regexp_replace(t, r"[ \t]+\n", "\n"), (" \n", "\t\n")))).otherwise("")
 
     def judged(text: Column) -> Column:
         hits = word_hits(text, p.ad_words)

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from savora.functions.text import SENTENCE
 
@@ -65,3 +66,14 @@ def chunked(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int =
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "text", "start", "end", "tokens"])
 
     return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, chunk_index int, text string, start int, `end` int, tokens int")
+
+
+def chunk_list(text: Column, most: int, overlap: int = 0) -> Column:
+    """The chunks as an array of structs (text, start, end, tokens) beside their text; null for null."""
+    if most <= 0:
+        raise ValueError("the largest chunk must have a token or more")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [dict(zip(("text", "start", "end", "tokens"), c, strict=True)) for c in chunks(t, most, overlap)] for t in texts], dtype="object")
+
+    return F.pandas_udf(run, "array<struct<text string, start int, `end` int, tokens int>>")(text)

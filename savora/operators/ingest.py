@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from savora.functions.text import clean_fingerprint, cleaned, content_hash, shop_norm, strip
 from savora.functions.time import instant
-from savora.operators.chunking import chunked
+from savora.operators.chunking import chunk_list
 from savora.operators.extraction import MENTION, answered, located
 from savora.params import Params
 from savora.sources.store import Store, work_path
@@ -53,23 +53,24 @@ def ingested(p: Params, fingerprint: str | None = None, now: datetime | None = N
         keyed = wide.where("raw_text is not null").withColumn("source", F.coalesce("source", F.lit(""))).withColumn("content_hash", content_hash(F.col("raw_text")))
         keyed = keyed.withColumn("content_key", F.sha2(F.concat_ws("\n", "source", "content_hash"), 256))
         last = [F.max_by(c, F.when(_given(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in METADATA]
-        new = keyed.groupBy("content_key", "source", "content_hash").agg(F.any_value("raw_text").alias("_raw_text"), *last)
-        buckets = store.touched(new)
+        new = keyed.groupBy("content_key").agg(*[F.any_value(c).alias(f"_{c}") for c in ("source", "content_hash", "raw_text")], *last)
+        buckets = store.touched(keyed)
         old = store.read("contents", buckets)
-        met = old.join(new.withColumnsRenamed({"source": "_source", "content_hash": "_content_hash"}), "content_key", "full")
+        met = old.join(new, "content_key", "full")
         fresh = F.col("_raw_text").isNotNull()
         filled = met.withColumns({c: F.coalesce(_given(f"_{c}") if c != "published_at" else F.col(f"_{c}"), F.col(c)) for c in METADATA} | {c: F.coalesce(c, f"_{c}") for c in ("source", "content_hash", "raw_text")})
         filled = filled.withColumn("city_hint", F.nullif(F.substring("city_hint", 1, 64), F.lit(""))).withColumn("crawled_at", F.when(fresh, at).otherwise(F.col("crawled_at")))
         kept = F.coalesce(F.col("status").isin("cleaned", "extracted") & (F.col("fingerprint") == mark), F.lit(False)) | ~fresh
         judged = filled.withColumn("_kept", kept).select(*old.columns, "_kept")
+        cleaner = judged.withColumn("_c", F.when(~F.col("_kept"), cleaned(F.col("raw_text"), p)))
+        whole = F.when(F.col("_c.in_script"), F.nullif("_c.text", F.lit("")))
+        cut = cleaner.withColumn("_pieces", chunk_list(whole, p.max_tokens, p.overlap_tokens))
         path = work_path(store.spark, "ingest")
-        judged.write.parquet(path)  # once, for contents, chunks and mentions alike
-        stored = store.spark.read.schema(judged.schema).parquet(path)
-        same, work = stored.where("_kept").drop("_kept"), stored.where("not _kept").drop("_kept")
-        clean = work.withColumn("_c", cleaned(F.col("raw_text"), p)).withColumns({"clean_text": F.nullif("_c.text", F.lit("")), "in_script": F.col("_c.in_script"), "low_trust": F.col("_c.low_trust"), "ad_hits": F.col("_c.ad_hits")})
-        pieces = chunked(clean.where("in_script and clean_text is not null"), "content_key", "clean_text", p.max_tokens, p.overlap_tokens).withColumn("status", F.lit("pending"))
-        n = pieces.groupBy("content_key").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-        done = clean.join(n, "content_key", "left").withColumns({"chunk_count": F.coalesce("_n", F.lit(0)), "status": F.lit("cleaned"), "fingerprint": F.lit(mark)})
+        cut.write.parquet(path)  # once, for contents, chunks and mentions alike: a text is cleaned and cut here and nowhere else
+        stored = store.spark.read.schema(cut.schema).parquet(path)
+        same, work = stored.where("_kept").select(*old.columns), stored.where("not _kept")
+        done = work.withColumns({"clean_text": F.nullif("_c.text", F.lit("")), "in_script": F.col("_c.in_script"), "low_trust": F.col("_c.low_trust"), "ad_hits": F.col("_c.ad_hits"), "chunk_count": F.coalesce(F.array_size("_pieces"), F.lit(0)), "status": F.lit("cleaned"), "fingerprint": F.lit(mark)})
+        pieces = work.select("content_key", F.posexplode("_pieces").alias("chunk_index", "_piece")).select("content_key", "chunk_index", "_piece.*", F.lit("pending").alias("status"))
         return buckets, {
             "contents": same.unionByName(done.select(*old.columns)),
             "chunks": _without(store.read("chunks", buckets), work).unionByName(pieces),

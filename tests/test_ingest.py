@@ -118,3 +118,16 @@ def test_places(spark, tmp_path):
     again = {(r.city, r.name): r for r in store.read("shops").collect()}
     assert (again["c", "Ming"].address, again["c", "Ming"].open_hours) == ("Lane 2", "10-6") and len(again) == 3
     assert sorted(r.alias for r in store.read("aliases").collect()) == ["Ming Grand", "Ming North"]
+
+
+def test_a_text_is_cleaned_and_cut_once(spark, tmp_path):
+    """Cleaning runs in the one step that writes the working table; contents, chunks and counts are read from there."""
+    rows = batch(spark, *[("forum", f"{TEXT} {k}", k, None, None, None) for k in range(20)])
+    store = ingest.content_store(spark, str(tmp_path / "s"), 4)
+    buckets, out = ingest.ingested(P, now=NOW)(store, rows)
+    assert buckets == store.touched(out["contents"])
+    for name in ("contents", "chunks"):
+        plan = out[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan and "Python" not in plan and "MapInPandas" not in plan
+    counts = {r.content_key: r["count"] for r in out["chunks"].groupBy("content_key").count().collect()}
+    assert {r.content_key: r.chunk_count for r in out["contents"].collect()} == counts and len(counts) == 20
