@@ -1,5 +1,6 @@
 """Captured searches and feeds: stops, dedup and caps; batch and stream read the same rows, each capture once."""
 
+from pathlib import Path
 import json
 from datetime import datetime
 
@@ -76,3 +77,24 @@ def test_feeds(spark, tmp_path):
     got = captured.feed_items(found, NOW).collect()
     assert [(r.raw_title, r.raw_text, r.source_url, str(r.published_at)) for r in got] == [("B", "text", "http://b", "2026-01-03 02:00:00"), ("C", "C", "one", "None")]
     assert [r.raw_title for r in captured.feed_items(found, None, 1).collect()] == ["A"]
+
+
+def test_pages_as_lines_of_one_file(spark, tmp_path):
+    """A keyword's answers in one file: read in order until one is missing, refused or short."""
+    def answer(page, n, status="1"):
+        return f"{page}\t" + json.dumps({"status": status, "pois": [{"id": f"P{page}-{k}", "name": "x"} for k in range(n)]})
+
+    files = {"whole": [answer(1, 2), answer(2, 2), answer(3, 1), answer(4, 2)], "gap": [answer(1, 2), answer(3, 2)], "refused": [answer(1, 2), answer(2, 2, "0"), answer(3, 2)], "broken": [answer(1, 2), "2\t{", answer(3, 2)], "late": [answer(2, 2)], "none": []}
+    for name, lines in files.items():
+        folder = tmp_path / "a" / "capture=1" / "city=c" / f"keyword={name}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text("".join(f"{x}\n" for x in lines))
+    got = captured.places(spark, str(tmp_path / "a"), pageSize=2).groupBy("keyword").count().collect()
+    assert {r["keyword"]: r["count"] for r in got} == {"whole": 5, "gap": 2, "refused": 2, "broken": 2}
+
+
+def test_an_archive_has_a_folder_for_a_keyword(spark):
+    from savora.plans.source_queries import search_archive
+
+    root = Path(search_archive(spark, "/root/testdata/sf0.001").removeprefix("file://"))
+    assert not list(root.glob("**/page=*")) and len(list(root.glob("capture=*/city=*/keyword=*"))) > 50
