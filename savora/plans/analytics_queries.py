@@ -11,7 +11,7 @@ from savora.functions.text import is_open, open_ranges
 from savora.operators import analytics, liveness, quality, recommend, resolve, scoring
 from savora.params import TABLES as P
 from savora.plans.bindings import ROLES_SQL, SHOPS_SQL, TRACKS_SQL, mentions, shops, table, tracks, unresolved
-from savora.plans.ranking_queries import FACTS, RANKED, items_of, with_, with_cuisine
+from savora.plans.ranking_queries import FACTS, RANKED, items_of, mentions_once, with_, with_cuisine
 from savora.sources.store import stored
 
 LAST = datetime(2024, 1, 30)
@@ -180,7 +180,7 @@ QUERIES = {
     "duplicate_rate": lambda s, d: quality.duplicate_rate(quality.duplicates_by_address(shops(s, d), 0.99), shops(s, d)),
     "name_group_verdicts": lambda s, d: quality.group_verdicts(shops(s, d)),
     "field_completeness": lambda s, d: quality.completeness(mentions(s, d)),
-    "influencer_intrusion": lambda s, d: quality.influencer_intrusion(items_of(s, d), mentions(s, d), ("viral",)),
+    "influencer_intrusion": lambda s, d: quality.influencer_intrusion(items_of(s, d, m := mentions_once(s, d)), m, ("viral",)),
     "brand_notice": lambda s, d: quality.brand_notice(mentions(s, d), shops(s, d), P),
     "fuzzy_align": fuzzy_align,
     "align_in_order": lambda s, d: resolve.align_in_order(unresolved(s, d).dropDuplicates(["mid", "city", "name_norm", "address_text"]), shops(s, d), P, aliases(s, d)),
