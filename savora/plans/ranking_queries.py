@@ -141,6 +141,11 @@ def signals_of(s: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame
     return scoring.signals(scoring.eligible(mentions_once(s, d) if m is None else m, own), own, P)
 
 
+def signals_once(s: SparkSession, d: str) -> DataFrame:
+    """Signals for plans that read them several times: one row a shop, made once."""
+    return stored(signals_of(s, d), "signals")
+
+
 def scored_of(s: SparkSession, d: str) -> DataFrame:
     return scoring.scored(signals_of(s, d), P)
 
@@ -169,6 +174,12 @@ def with_cuisine(items: DataFrame, s: SparkSession, d: str) -> DataFrame:
     return items.join(shops(s, d).select("shop_id", "cuisine", "area"), "shop_id")
 
 
+def envelopes_of(s: SparkSession, d: str) -> DataFrame:
+    """The items, few, are made once for the counts before and after the filter."""
+    items = stored(with_cuisine(items_of(s, d), s, d).select("city", "shop_id", "area"), "items")
+    return ranking.envelopes(items, ranking.filtered(items, area="A3"))
+
+
 def filter_page(s: SparkSession, d: str) -> DataFrame:
     found = ranking.filtered(with_cuisine(items_of(s, d), s, d), cuisine="ECON", price_min=50, price_max=120)
     return ranking.page(found, 1, 5).select("city", "rank", "shop_id", "name", "cuisine", "avg_price")
@@ -198,7 +209,7 @@ def city_list_of(s: SparkSession, d: str) -> DataFrame:
 
 
 def variants_of(s: SparkSession, d: str) -> DataFrame:
-    return ablation.variant_ranks(signals_of(s, d), P).select("variant", "city", "shop_id", "rank", "score")
+    return ablation.variant_ranks(signals_once(s, d), P).select("variant", "city", "shop_id", "rank", "score")
 
 
 def variants_sql() -> str:
@@ -228,7 +239,7 @@ def variants_sql() -> str:
 
 
 def spearman_of(s: SparkSession, d: str) -> DataFrame:
-    return ablation.compare(ablation.variant_ranks(signals_of(s, d), P))
+    return ablation.compare(ablation.variant_ranks(signals_once(s, d), P))
 
 
 SPEARMAN_SQL = """, base AS (SELECT city, shop_id, rank AS r0, score AS s0 FROM variants WHERE variant = 'baseline'
@@ -288,7 +299,7 @@ QUERIES = {
     "sources_first_n": lambda s, d: ranking.first_sources(mentions(s, d)).withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd")),
     "rank_filter_page": filter_page,
     "rank_days_filter": days_filter,
-    "rank_envelope": lambda s, d: ranking.envelopes(i := with_cuisine(items_of(s, d), s, d), ranking.filtered(i, area="A3")),
+    "rank_envelope": envelopes_of,
     "city_list_full_outer": city_list_of,
     "city_maturity": lambda s, d: shops(s, d).groupBy("city").agg(F.count(F.lit(1)).alias("n")).select("city", "n", maturity(F.col("n")).alias("tier")),
     "latest_snapshot_by_time": lambda s, d: ranking.latest_by_time(snapshots(s, d)).select("city", "snapshot_id"),

@@ -9,7 +9,7 @@ from savora.operators import ablation, lists, quality, ranking, service
 from savora.params import TABLES as P
 from savora.plans.analytics_queries import ALIASES_SQL, SQL as ANALYTICS_SQL, aliases
 from savora.plans.bindings import ROLES_SQL, SHOPS_SQL, mentions, shops, table
-from savora.plans.ranking_queries import OWN_SCORES, RANKED, VARIANTS, WORDS_CTE, items_of, mentions_once, reasons_sql, signals_of, with_
+from savora.plans.ranking_queries import OWN_SCORES, RANKED, VARIANTS, WORDS_CTE, items_of, mentions_once, reasons_sql, signals_once, with_
 
 SHOP_KEYS, CITY_KEYS = ["user_id", "shop_id"], ["user_id", "city"]
 STAMP, DUCK_STAMP = "yyyy-MM-dd HH:mm:ss", "'%Y-%m-%d %H:%M:%S'"
@@ -148,7 +148,7 @@ QUERIES = {
     "alert_text": lambda s, d: service.alert_text(requests(s, d).where("action = 'remove'").select("user_id", "at", "event_id", F.when(F.col("k") % 2 == 0, "firing").otherwise("resolved").alias("status"), F.concat(F.lit("shop "), F.col("shop_id").cast("string")).alias("name"), F.when(F.col("k") % 3 != 0, F.col("city")).alias("summary")), "user_id"),
     "display_fields": lambda s, d: requests(s, d).select("event_id", service.price_band(F.element_at(F.array(*map(F.lit, ("0-30", "30-60", "100-", ""))), (F.col("k") % 4 + 1).cast("int"))).alias("b"), service.tenure_years(F.timestamp_add("DAY", -(F.col("k") * 20).cast("int"), F.lit("2024-01-31").cast("timestamp")), F.lit("2024-01-31").cast("timestamp")).alias("years"), service.percent_text(F.col("k") / 1000).alias("share")).select("event_id", "b.min", "b.max", "years", "share"),
     "robots_gate": lambda s, d: service.robots_allowed(table(s, d, "pages").select("page_id", "url"), hosts(s, d).select("host", F.when(F.col("n") % 5 == 0, 404).when(F.col("n") % 5 == 1, 403).when(F.col("n") % 5 == 2, 503).otherwise(200).alias("code")), robots_rules(s, d)).select("page_id", "allowed"),
-    "ablation_summary": lambda s, d: ablation.summary(ablation.variant_ranks(signals_of(s, d), P), [v.name for v in ablation.variants(P)][1:]),
+    "ablation_summary": lambda s, d: ablation.summary(ablation.variant_ranks(signals_once(s, d), P), [v.name for v in ablation.variants(P)][1:]),
 }
 
 
