@@ -28,7 +28,8 @@ def build_rank(mentions: DataFrame, shops: DataFrame, p: Params) -> DataFrame:
 def top_words(mentions: DataFrame, column: str, k: int = 5) -> DataFrame:
     """shop_id and its k most frequent words of an array column; of equals, those met first."""
     words = mentions.where("shop_id is not null").select("shop_id", "mid", F.posexplode(column).alias("seen_at", "word"))
-    counted = words.groupBy("shop_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("mid", "seen_at")).alias("first"))
+    placed = words.groupBy("shop_id", "word", "seen_at").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid"))  # numbers only: counted without a sort
+    counted = placed.repartition("shop_id").groupBy("shop_id", "word").agg(F.sum("n").alias("n"), F.min(F.struct("mid", "seen_at")).alias("first"))
     order = Window.partitionBy("shop_id").orderBy(F.col("n").desc(), F.col("first").asc())
     best = counted.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
     return best.groupBy("shop_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias(column))
@@ -37,7 +38,7 @@ def top_words(mentions: DataFrame, column: str, k: int = 5) -> DataFrame:
 def first_sources(mentions: DataFrame, n: int = 3, excerpt: int = 120) -> DataFrame:
     """A row for each shop's first n contents in the order of mentions."""
     first = Window.partitionBy("shop_id", "content_id").orderBy("mid")
-    once = mentions.where("shop_id is not null").withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    once = mentions.where("shop_id is not null").withColumn("_again", F.lag(F.lit(True)).over(first)).where("_again is null")  # a row number would be limited, and sorted, before the shuffle too
     place = Window.partitionBy("shop_id").orderBy("mid")
     ranked = once.withColumn("i", F.row_number().over(place)).where(F.col("i") <= n)
     return ranked.select("shop_id", "i", "content_id", "platform", "source_url", clip(F.col("evidence"), excerpt).alias("excerpt"), "published_at")

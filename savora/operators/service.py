@@ -10,7 +10,7 @@ from savora.functions.text import is_open, open_ranges
 from savora.functions.time import instant
 from savora.operators.lists import moment
 from savora.operators.ranking import first_sources, top_words
-from savora.operators.scoring import own_facts, reasons, scored, signals
+from savora.operators.scoring import earliest, own_facts, reasons, scored, signals
 from savora.params import Params
 
 #: Kinds of feedback; states of a crawl source that count as skipped.
@@ -73,22 +73,23 @@ def code_checks(events: DataFrame, minutes: int = 10, attempts: int = 5) -> Data
     return events.select("mailbox", "event_id", "at", "kind", "code").groupBy("mailbox").applyInPandas(fold, "event_id long, ok boolean")
 
 
-def shop_detail(shops: DataFrame, items: DataFrame, mentions: DataFrame, notices: DataFrame, p: Params, n_sources: int = 10) -> DataFrame:
+def shop_detail(shops: DataFrame, items: DataFrame, mentions: DataFrame, notices: DataFrame, p: Params, n_sources: int = 10, own: DataFrame | None = None) -> DataFrame:
     """A row for every shop: its place in the latest snapshot, else its own live score, which takes no account of its state; reasons, words, sources, dates, opening, notice.
 
-    Of shops, lat, lng and open_hours are optional; is_open is null where the hours can't be read.
+    own: signals of the shops' own facts, where they are there already. Of shops, lat, lng and open_hours are optional; is_open is null where the hours can't be read.
     """
     aligned = mentions.where("shop_id is not null")
     figures = aligned.groupBy("shop_id").agg(
-        F.count(F.lit(1)).alias("mention_count"), F.date_format(F.max("seen_at"), "yyyy-MM-dd").alias("last_mentioned_at"), F.min_by("address_text", "mid").alias("_address"),
+        F.count(F.lit(1)).alias("mention_count"), F.date_format(F.max("seen_at"), "yyyy-MM-dd").alias("last_mentioned_at"),
         F.date_format(F.coalesce(F.min("published_at"), F.min("crawled_at")), "yyyy-MM-dd").alias("first_mentioned_at"), F.min("published_at").isNotNull().alias("first_evidence_confident"),
     )
-    scores = scored(signals(own_facts(aligned, shops), shops, p), p).select("shop_id", F.col("score").alias("_live"), "exclude_reason", reasons(p).alias("reasons"))
+    addresses = earliest(aligned, ["shop_id"], "address_text").withColumnRenamed("address_text", "_address")
+    scores = scored(signals(own_facts(aligned, shops), shops, p) if own is None else own, p).select("shop_id", F.col("score").alias("_live"), "exclude_reason", reasons(p).alias("reasons"))
     placed = items.select("shop_id", "city", F.col("display_score").alias("_shown"), "rank")
     sources = first_sources(mentions, n_sources).groupBy("shop_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "platform", "source_url", "excerpt", "published_at"))), lambda x: x.dropFields("i")).alias("sources"))
     more = [c for c in ("lat", "lng", "open_hours") if c in shops.columns]
     out = shops.select("shop_id", "name", "city", "area", "address", "cuisine", "avg_price", "status", "liveness", *more)
-    for part in (scores, figures, sources, top_words(mentions, "praise"), top_words(mentions, "complaints"), notices.select("shop_id", F.lit(True).alias("_notice"))):
+    for part in (scores, figures, addresses, sources, top_words(mentions, "praise"), top_words(mentions, "complaints"), notices.select("shop_id", F.lit(True).alias("_notice"))):
         out = out.join(part, "shop_id", "left")
     out = out.join(placed, ["shop_id", "city"], "left")
     ranges = open_ranges(F.coalesce(F.col("open_hours"), F.lit(""))) if "open_hours" in more else None

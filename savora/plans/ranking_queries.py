@@ -133,7 +133,7 @@ def with_(ctes: str, select: str, recursive: bool = False) -> str:
 
 def mentions_once(s: SparkSession, d: str) -> DataFrame:
     """Mentions for plans that read them several times: the six tables are joined once."""
-    return stored(mentions(s, d), "mentions")
+    return mentions(s, d, once=True)
 
 
 def signals_of(s: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.operators import ablation, lists, quality, ranking, service
+from savora.operators import ablation, lists, quality, ranking, scoring, service
 from savora.params import TABLES as P
 from savora.plans.analytics_queries import ALIASES_SQL, SQL as ANALYTICS_SQL, aliases
 from savora.plans.bindings import ROLES_SQL, SHOPS_SQL, mentions, shops, table
 from savora.plans.ranking_queries import OWN_SCORES, RANKED, VARIANTS, WORDS_CTE, items_of, mentions_once, reasons_sql, signals_once, with_
+from savora.sources.store import stored
 
 SHOP_KEYS, CITY_KEYS = ["user_id", "shop_id"], ["user_id", "city"]
 STAMP, DUCK_STAMP = "yyyy-MM-dd HH:mm:ss", "'%Y-%m-%d %H:%M:%S'"
@@ -112,7 +113,9 @@ def shop_detail(s, d):
     m = mentions_once(s, d)
     hours = F.element_at(F.array(F.lit(None).cast("string"), F.lit("ask"), F.lit("10:00-22:00"), F.lit("22:00-10:00")), (F.col("shop_id") % 4 + 1).cast("int"))
     own = shops(s, d).withColumn("open_hours", hours)
-    got = service.shop_detail(own, items_of(s, d, m), m, quality.brand_notice(m, own, P), P)
+    found = stored(scoring.signals(scoring.keyed(m), own, P), "signals")
+    items = ranking.rank_items(scoring.adjusted(scoring.smoothed(scoring.scored(scoring.in_business(found, own), P), P), P), P)
+    got = service.shop_detail(own, items, m, quality.brand_notice(m, own, P), P, own=scoring.own_signals(found, m, own, P))
     joined = {c: F.array_join(c, sep) for c, sep in (("reasons", "; "), ("praise", "|"), ("complaints", "|"))}
     return got.withColumns(joined | {"n_sources": F.size("sources").cast("long")}).drop("sources", "open_hours")
 
